@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_decontaminate": "decontaminate",
+    "op5_jaccard_join": "jaccard_join",
     "op7_quality_divergence": "quality_rules",
     "op8_token_counts": "token_counts",
     "op9_budget_mix": "mixing",
