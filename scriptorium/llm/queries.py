@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op4_line_dedup": "line_dedup",
     "op1_decontaminate": "decontaminate",
     "op5_jaccard_join": "jaccard_join",
     "op7_quality_divergence": "quality_rules",
