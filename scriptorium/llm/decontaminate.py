@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import BYTE_HASHES, Chunk, chunks, mix, power_tables
+from .words import BYTE_HASHES, Chunk, chunks, mix, plain_bytes, power_tables
 
 Q = 12
 WINDOW = 96
@@ -27,16 +27,12 @@ EDIT_SHARE = 0.05
 MIN_ITEM = 32
 #: Bytes of benchmark text that one pass over the documents holds in memory; larger benchmarks take more passes.
 BLOCK = 4_000_000
-_PLAIN = np.full(256, 32, np.uint8)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _PLAIN[_a:_b] = np.arange(_a, _b)
-_PLAIN[65:91] += 32
 SCHEMA = "doc_id long, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>"
 
 
 def plain(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The plain form of bytes, and the place in ``raw`` of each of its bytes. A zero byte stays: it parts texts."""
-    shown = _PLAIN[raw]
+    shown = plain_bytes(raw)
     shown[raw == 0] = 0
     keep = shown != 32
     keep[1:] |= shown[:-1] != 32

@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op3_perspective_rotation": "rotation",
+    "op10_toxicity": "toxicity",
     "op4_line_dedup": "line_dedup",
     "op1_decontaminate": "decontaminate",
     "op5_jaccard_join": "jaccard_join",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240611)
 BYTE_HASHES = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,6 +36,17 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+_PLAIN = np.full(256, 32, np.uint8)
+for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    _PLAIN[_a:_b] = np.arange(_a, _b)
+_PLAIN[65:91] += 32
+
+
+def plain_bytes(raw: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case, other ASCII but digits as spaces; bytes beyond ASCII stay."""
+    return _PLAIN[raw]
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x + np.uint64(salt * 0x632BE59BD9B4E019 & (2**64 - 1))
