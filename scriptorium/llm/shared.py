@@ -46,3 +46,46 @@ def clean(docs: DataFrame, *columns: str) -> DataFrame:
 
 def crc_mod(id_column: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(m))
+
+
+def put_arrays(place: str, **arrays) -> None:
+    """Writes arrays side by side as files ``place-name.npy``; a rewrite by a repeated task puts the same bytes there."""
+    import io
+    import os
+
+    import numpy as np
+
+    for name, a in arrays.items():
+        body = io.BytesIO()
+        np.save(body, a)
+        url = f"{place}-{name}.npy"
+        if url.startswith("file:"):
+            path = "/" + url.removeprefix("file:").lstrip("/")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            own = f"{path}.{uuid.uuid4().hex}"
+            with open(own, "wb") as f:
+                f.write(body.getbuffer())
+            os.replace(own, path)
+        else:
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(url)
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(body.getbuffer())
+
+
+def get_array(place: str, name: str):
+    """An array of ``put_arrays``: mapped into memory where the folder is a file system's, read where it's a store's."""
+    import io
+
+    import numpy as np
+
+    url = f"{place}-{name}.npy"
+    if url.startswith("file:"):
+        return np.load("/" + url.removeprefix("file:").lstrip("/"), mmap_mode="r")
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(url)
+    with system.open_input_file(path) as f:
+        return np.load(io.BytesIO(f.read()))
