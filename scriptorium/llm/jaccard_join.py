@@ -17,9 +17,10 @@ What travels is packed: a task sends each partition one byte string of postings
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import shards, table
+from .shared import folder, shards, table
 from .words import Chunk, Words, chunks, mix, shingle_set, words
 
 SIZE = 5
@@ -37,7 +38,7 @@ COMMON = 32
 #: At most so many common shingles are told to the tasks; with more, ``COMMON`` is doubled until they fit. Any order is exact.
 MAX_COMMON = 400_000
 #: Counters of a partition in the shingle count; partitions grow with the data.
-COUNTERS = 1 << 24
+COUNTERS = 1 << 22
 BITMAP = 1024
 MAX_LIGHT = 16
 BLOCK_DOCS = 1 << 15
@@ -165,40 +166,45 @@ class Order:
 
 
 def _postings(parts: int, order, light: int):
-    """Sends each partition a block's postings: keys (5 bytes), local documents (2 bytes), and the block's ids and sizes."""
+    """Sends each partition a block's postings: keys (5 bytes), places in the set's order and local documents (2 bytes each), and the block's ids and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
-        ids, sizes, keys, owner, held = [], [], [], [], 0
+        ids, sizes, keys, owner, places, held, seen = [], [], [], [], [], 0, set()
 
         def flush():
-            k, o = np.concatenate(keys), np.concatenate(owner)
+            k, o, place = np.concatenate(keys), np.concatenate(owner), np.concatenate(places)
             to = (k % np.uint64(parts)).astype(np.int32)
             at = np.argsort(to, kind="stable")
             limits = np.searchsorted(to[at], np.arange(parts + 1))
             low = (k[at] // np.uint64(parts)).view(np.uint8).reshape(-1, 8)[:, :5]
-            o = o[at].astype(np.uint16)
+            o, place = o[at].astype(np.uint16), place[at]
             all_ids, all_n = np.array(ids, np.int64), np.array(sizes, np.int64)
             rows = []
             for p in range(parts):
                 a, b = limits[p], limits[p + 1]
                 if a < b:
                     used, local = np.unique(o[a:b], return_inverse=True)
-                    rows.append((p, low[a:b].tobytes(), local.astype(np.uint16).tobytes(), all_ids[used].tobytes(), all_n[used].tobytes()))
-            return _batch(part=pa.array([r[0] for r in rows], pa.int32()), **{x: pa.array([r[k] for r in rows], pa.binary()) for k, x in enumerate(("keys", "local", "ids", "sizes"), 1)})
+                    rows.append((p, low[a:b].tobytes(), local.astype(np.uint16).tobytes(), place[a:b].tobytes(), all_ids[used].tobytes(), all_n[used].tobytes()))
+            return _batch(part=pa.array([r[0] for r in rows], pa.int32()), **{x: pa.array([r[k] for r in rows], pa.binary()) for k, x in enumerate(("keys", "local", "places", "ids", "sizes"), 1)})
 
         for batch in batches:
             row, doc = 0, batch.column("doc_id").to_pylist()
             for c in chunks(batch.column("text")):
                 for s in _sets(c, words(c)):
-                    own, n = [], len(s)
-                    if n and doc[row] is not None:
+                    own, at, n = [], [], len(s)
+                    same = (n, int(mix(s, 1).sum(dtype=np.uint64)), int(mix(s, 2).sum(dtype=np.uint64)))
+                    if n and doc[row] is not None and same not in seen:  # copies of one set stand once
+                        seen.add(same)
                         if n <= light:
                             own += [mix(np.array([np.add.reduce(mix(s[list(x)], 6)) for x in combinations(range(n), d)], np.uint64), 100 + d) for d in demanded(n)]
+                            at += [np.zeros(len(x), np.int64) for x in own]
                         if n > light or DEN * n >= NUM * (light + 1):
                             own.append(mix(rank.prefix(s, prefix_length(n)), 8))
+                            at.append(np.arange(prefix_length(n)))
                     if own:
                         k = np.concatenate(own)
+                        places.append(np.minimum(np.concatenate(at), 65535).astype(np.uint16))
                         keys.append(k)
                         owner.append(np.full(len(k), len(ids)))
                         ids.append(doc[row])
@@ -207,7 +213,8 @@ def _postings(parts: int, order, light: int):
                     row += 1
                 if held > 1_500_000 or len(ids) > BLOCK_DOCS:
                     yield flush()
-                    ids, sizes, keys, owner, held = [], [], [], [], 0
+                    ids, sizes, keys, owner, places, held = [], [], [], [], [], 0
+                    seen.clear()
         if keys:
             yield flush()
 
@@ -215,8 +222,11 @@ def _postings(parts: int, order, light: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The inverted lists of a partition that hold two documents at least: one row per (list, document)."""
-    keys, ids, sizes = {}, {}, {}
+    """The inverted lists of a partition that hold two documents at least: one row per (list, document).
+
+    A list is named by a hash of its documents; ``times`` tells how many of the partition's lists they are.
+    """
+    keys, ids, sizes, places = {}, {}, {}, {}
     for batch in batches:
         for r in range(batch.num_rows):
             part = batch.column("part")[r].as_py()
@@ -226,18 +236,36 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = np.frombuffer(batch.column("local")[r].as_buffer(), np.uint16)
             keys.setdefault(part, []).append(wide.view(np.uint64).ravel())
             ids.setdefault(part, []).append(np.frombuffer(batch.column("ids")[r].as_buffer(), np.int64)[local])
+            places.setdefault(part, []).append(np.frombuffer(batch.column("places")[r].as_buffer(), np.uint16))
             sizes.setdefault(part, []).append(np.frombuffer(batch.column("sizes")[r].as_buffer(), np.int64)[local].astype(np.int32))
     for part in list(keys):
-        k, i, n = np.concatenate(keys.pop(part)), np.concatenate(ids.pop(part)), np.concatenate(sizes.pop(part))
+        k, i, n, place = (np.concatenate(x.pop(part)) for x in (keys, ids, sizes, places))
         at = np.argsort(k, kind="stable")
         k = k[at]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         length = np.diff(np.append(first, len(k)))
-        keep = np.repeat(length > 1, length)
-        at, group = at[keep], np.repeat(np.arange(int((length > 1).sum())), length[length > 1])
-        for a in range(0, len(at), 500_000):
-            own = at[a : a + 500_000]
-            yield _batch(part=pa.array(np.full(len(own), part), pa.int32()), list=pa.array(group[a : a + 500_000], pa.int64()), doc_id=pa.array(i[own], pa.int64()), n=pa.array(n[own], pa.int32()))
+        many = length > 1
+        at = at[np.repeat(many, length)]
+        i, n, place, length = i[at], n[at], place[at].astype(np.int32), length[many]
+        if not len(length):
+            continue
+        # lists of the same documents are one: near copies share most of their lists
+        first = np.concatenate([[0], np.cumsum(length)[:-1]])
+        name = mix(np.add.reduceat(mix(i.view(np.uint64), 11), first), 12) ^ length.astype(np.uint64)
+        _, kept, times = np.unique(name, return_index=True, return_counts=True)
+        weight = np.zeros(len(length), np.int32)
+        weight[kept] = times
+        name, weight = np.repeat(name, length), np.repeat(weight, length)
+        # of equal lists, one stays; a document's place is then its least in any of them, which prunes less but loses nothing
+        order = np.lexsort((place, i, name))
+        name_, i_ = name[order], i[order]
+        rows = order[np.append(True, (name_[1:] != name_[:-1]) | (i_[1:] != i_[:-1]))]
+        weights = dict(zip(name[weight > 0].tolist(), weight[weight > 0].tolist(), strict=True))
+        i, n, name, place = i[rows], n[rows], name[rows], place[rows]
+        weight = np.array([weights[x] for x in name.tolist()], np.int32)
+        for a in range(0, len(i), 200_000):
+            b = a + 200_000
+            yield _batch(list=pa.array(name[a:b].view(np.int64), pa.int64()), doc_id=pa.array(i[a:b], pa.int64()), n=pa.array(n[a:b], pa.int32()), place=pa.array(place[a:b], pa.int32()), times=pa.array(weight[a:b], pa.int32()))
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,32 +280,26 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array((DEN + NUM) * most >= NUM * (na + nb)))
 
 
-def _wanted_sets(filter_bits, buckets: int):
+def _wanted_sets(filter_bits):
     """The sets of documents whose id falls on a wanted bucket; others can't be in a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = filter_bits.value
         for batch in batches:
-            keep = wanted[batch.column("bucket").to_numpy(zero_copy_only=False)]
-            for c in chunks((own := batch.filter(pa.array(keep))).column("text")):
+            own = batch.filter(pa.array(wanted[batch.column("bucket").to_numpy(zero_copy_only=False)]))
+            for c in chunks(own.column("text")):
                 sets = list(_sets(c, words(c)))
                 k1 = np.array([mix(s, 1).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield _batch(doc_id=own.column("doc_id").slice(c.first, c.rows), k1=pa.array(k1, pa.int64()), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
+                limits = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+                yield _batch(doc_id=own.column("doc_id").slice(c.first, c.rows), k1=pa.array(k1, pa.int64()), shingles=lists)
 
     return run
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(DEN * shared >= NUM * (len(s) + len(t) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 BUCKETS = 1 << 20
+#: Rounds of head proposals before the pairs left are enumerated.
+ROUNDS = 3
 
 
 class Join:
@@ -311,42 +333,63 @@ class Join:
         order, mean = self.order()
         histogram = {r.n: r["count"] for r in self.heads.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect()}
         self.boundary = boundary_by_cost(histogram, mean)
-        packed = self.docs.mapInArrow(_postings(self.parts, self.spark.sparkContext.broadcast(order), self.boundary), "part int, keys binary, local binary, ids binary, sizes binary")
-        found = packed.repartition(self.parts, "part").mapInArrow(_lists, "part int, list long, doc_id long, n int")
-        # copies of one set stand once in a list
-        return table(found.join(self.member.select("doc_id", "rep"), "doc_id").select("part", "list", F.col("rep").alias("id"), "n").distinct(), "lists")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of proposed pairs (a, b) of class ids those that link."""
-        left, right = (self.heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-        possible = table(pairs.join(left, "a").join(right, "b").mapInArrow(_possible, "a long, b long"), "possible")
+        packed = self.docs.mapInArrow(_postings(self.parts, self.spark.sparkContext.broadcast(order), self.boundary), "part int, keys binary, local binary, places binary, ids binary, sizes binary")
+        found = packed.repartition(self.parts, "part").mapInArrow(_lists, "list long, doc_id long, n int, place int, times int")
+        found = found.groupBy("list", "doc_id", "n").agg(F.min("place").alias("place"), F.sum("times").alias("times"))
+        found = found.join(self.member.select("doc_id", "rep"), "doc_id")
+        return table(found.groupBy("list", F.col("rep").alias("id"), "n").agg(F.min("place").alias("place"), F.max("times").alias("times")), "lists")
+
+    def keep_sets(self, lists: DataFrame) -> None:
+        """Writes the sets of the classes in ``lists``, made anew from the texts, bucketed by id: later joins move pairs, not sets.
+
+        The tasks are told BUCKETS bits, of which those of the wanted ids are set; with many ids that filters less, and
+        the join alone decides.
+        """
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-        ends = possible.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        ends = lists.select(F.col("id").alias("doc_id")).distinct()
         wanted = np.zeros(BUCKETS, bool)
         for r in ends.select(bucket.alias("k")).distinct().toLocalIterator():
             wanted[r.k] = True
-        sets = self.docs.where("doc_id is not null").withColumn("bucket", bucket).mapInArrow(_wanted_sets(self.spark.sparkContext.broadcast(wanted), BUCKETS), "doc_id long, k1 long, shingles binary")
+        sets = self.docs.where("doc_id is not null").withColumn("bucket", bucket).mapInArrow(_wanted_sets(self.spark.sparkContext.broadcast(wanted)), "doc_id long, k1 long, shingles array<long>")
         # with repeated ids, a class's id may name rows of other texts too: the class's set is the one with its hash
-        own = self.heads.join(ends.distinct(), "doc_id", "left_semi").select("doc_id", "k1")
-        sets = table(sets.join(own, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-        both = possible.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return table(both.mapInArrow(_linked, "a long, b long").distinct(), "linked")
+        own = self.heads.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("k1").alias("own"))
+        sets = sets.join(own, F.expr("doc_id = id and (k1 ^ own) = 0")).select("id", "shingles")
+        self.sets = f"sets_{uuid.uuid4().hex}"
+        place = f"{folder(self.spark)}/{self.sets}"
+        sets.write.option("path", place).option("compression", "zstd").bucketBy(self.parts, "id").format("parquet").saveAsTable(self.sets)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of proposed pairs (a, b) of class ids those that link."""
+        left, right = (self.heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        possible = table(pairs.join(left, "a").join(right, "b").mapInArrow(_possible, "a long, b long"), "possible")
+        sets = self.spark.table(self.sets)
+        left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        both = possible.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        linked = both.where(f"{DEN} * both >= {NUM} * (size(sa) + size(sb) - both)")
+        return table(linked.select("a", "b").distinct(), "linked")
 
     def links(self) -> DataFrame:
         """Verified links between classes that connect every component of the join."""
         lists = self.lists()
-        head = lists.groupBy("part", "list").agg(F.min(F.struct("n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1").select("part", "list", F.col("head.id").alias("b"))
-        shared = lists.join(head, ["part", "list"]).where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("times"))
-        first = shared.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-        links = self.verified(first)
-        known = components(links)
-        # sets of one list that lie in different components are the pairs left
-        now = lists.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-        open_ = now.groupBy("part", "list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("part", "list")
-        now = table(now.join(open_, ["part", "list"]).select("part", "list", "id", "n", "c"), "open")
-        x, y = (now.select("part", "list", *(F.col(k).alias(f"{k}{s}") for k in ("id", "n", "c"))) for s in "xy")
-        near = F.expr(f"cx < cy and {NUM} * nx <= {DEN} * ny and {NUM} * ny <= {DEN} * nx")
-        rest = x.join(y, ["part", "list"]).where(near).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+        # a link of a and b shares at most what either has from its place in the list on
+        near = F.expr(f"{NUM} * nx <= {DEN} * ny and {NUM} * ny <= {DEN} * nx and {DEN + NUM} * least(nx - px, ny - py) >= {NUM} * (nx + ny)")
+        side = lambda rows, s: rows.select("list", *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"), ("times", "t"), ("c", "c"))))
+        self.keep_sets(lists)
+        links, now = None, lists.withColumn("c", F.col("id"))
+        for turn in range(ROUNDS):
+            # each round proposes every set to the head, another each time, of the list it shares most with in another component
+            salt = F.xxhash64("id", F.lit(turn)) if turn else F.col("n").cast("long")
+            head = now.groupBy("list").agg(F.min(F.struct(salt.alias("salt"), "id", "n", "place", "times", "c")).alias("h")).select("list", "h.*")
+            both = side(now, "x").join(side(head, "y"), "list").where(near & F.expr("cx <> cy"))
+            best = both.groupBy("idx", "idy").agg(F.sum("tx").alias("times")).groupBy("idx").agg(F.max(F.struct("times", "idy")).alias("best"))
+            new = self.verified(best.select(F.col("idx").alias("a"), F.col("best.idy").alias("b")))
+            links = new if links is None else table(links.unionByName(new), "links")
+            known = components(links)
+            now = lists.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            open_ = now.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
+            now = table(now.join(open_, "list"), "open")
+        # sets of one list that still lie in different components are the pairs left
+        rest = side(now, "x").join(side(now, "y"), "list").where(near & F.expr("cx < cy")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
         return links.unionByName(self.verified(rest))
 
     def result(self) -> DataFrame:

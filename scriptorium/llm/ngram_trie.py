@@ -49,7 +49,8 @@ class EliasFano:
 
     def __init__(self, head: np.ndarray, high: np.ndarray, low: np.ndarray):
         self.n, self.bits, self.packed = int(head[0]), int(head[1]), low
-        ones = np.flatnonzero(np.unpackbits(np.asarray(high)))[: self.n]
+        self.raised = np.unpackbits(np.asarray(high)).view(bool)
+        ones = np.flatnonzero(self.raised)[: self.n]
         self.highs = ones - np.arange(self.n)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
@@ -68,11 +69,12 @@ class EliasFano:
         out = np.full(len(keys), -1, np.int64)
         if not self.n:
             return out
-        most = int(self.highs[-1])
-        starts = np.searchsorted(self.highs, np.arange(most + 2)) if most < 4 * self.n + 64 else None
+        zeros = np.flatnonzero(~self.raised)  # the k-th zero ends bucket k
+        starts = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        most = len(zeros) - 1
         h = (keys >> self.bits).astype(np.int64)
         inside = np.minimum(h, most)
-        s, e = (starts[inside], starts[inside + 1]) if starts is not None else (np.searchsorted(self.highs, inside), np.searchsorted(self.highs, inside, "right"))
+        s, e = starts[inside], starts[inside + 1]
         low = (keys & ((1 << self.bits) - 1)).astype(np.uint64)
         open_ = np.flatnonzero((h <= most) & (s < e))
         while len(open_):
