@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op6_cotraining": "cotraining",
     "op2_ngram_trie": "ngram_trie",
     "op3_perspective_rotation": "rotation",
     "op10_toxicity": "toxicity",
