@@ -123,3 +123,26 @@ def test_words_match_the_pattern():
     texts = ["a b", "", None, "c\x0bd", "e", " f "]
     counts = [n for c in chunks(pa.array(texts), 4) for n in np.diff(words(c).bounds).tolist()]
     assert counts == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_line_minima_are_those_of_the_shingles():
+    import pyarrow as pa
+
+    texts = ["abcdefg", "żółć jest", "aaaaaa"]
+    whole = next(iter(chunks(pa.array(texts))))
+    together = line_dedup._minima(whole.data, whole.offsets)
+    for k, t in enumerate(texts):
+        own = [line_dedup._minima(c.data, c.offsets)[:, 0] for g in range(len(t) - 4) for c in chunks(pa.array([t[g : g + 5]]))]
+        assert (np.min(own, axis=0) == together[:, k]).all()
+
+
+def test_near_lines_are_found(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    lines = [" ".join(rng.choices(words, k=20)) for _ in range(60)]
+    near = [line[:70] + "#" + line[71:] for line in lines]
+    d = spark.createDataFrame([(k, t, "en", "a", 1, 0) for k, t in enumerate(lines + near)], SCHEMA)
+    removed = {r.doc_id for r in line_dedup.decisions(d).where("removed").collect()}
+    assert removed == set(range(60, 120))
