@@ -5,6 +5,7 @@ import os
 import pandas as pd
 import pytest
 
+from scriptorium.plans import scoring  # noqa: F401  adds its queries
 from scriptorium.plans.queries import QUERIES, SQL
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
