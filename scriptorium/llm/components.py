@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import drop, table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,9 +25,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
-        e = table(small.where("u <> v").distinct(), "links")
+        last, e = e, table(small.where("u <> v").distinct(), "links")
+        drop(last)
         state = e.agg(F.count("*"), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
         before = state
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def extended(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``known`` components ``(node, component)`` with the links ``(a, b)`` added, as a table.
+
+    Known components are single nodes to union-find, so that it works on the added links alone.
+    """
+    if known is None:
+        return table(components(links), "components")
+    a, b = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    added = table(components(between), "components")
+    moved = added.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return table(old.unionByName(added.join(known.select("node"), "node", "left_anti")), "components")

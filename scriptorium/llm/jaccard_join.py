@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import extended
 from .shared import folder, shards, table
 from .words import Chunk, Words, chunks, mix, shingle_set, words
 
@@ -368,32 +368,30 @@ class Join:
         linked = both.where(f"{DEN} * both >= {NUM} * (size(sa) + size(sb) - both)")
         return table(linked.select("a", "b").distinct(), "linked")
 
-    def links(self) -> DataFrame:
-        """Verified links between classes that connect every component of the join."""
+    def components(self) -> DataFrame:
+        """Every class that links with another: ``(node, component)``, by verified links alone."""
         lists = self.lists()
         # a link of a and b shares at most what either has from its place in the list on
         near = F.expr(f"{NUM} * nx <= {DEN} * ny and {NUM} * ny <= {DEN} * nx and {DEN + NUM} * least(nx - px, ny - py) >= {NUM} * (nx + ny)")
         side = lambda rows, s: rows.select("list", *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"), ("times", "t"), ("c", "c"))))
         self.keep_sets(lists)
-        links, now = None, lists.withColumn("c", F.col("id"))
+        known, now = None, lists.withColumn("c", F.col("id"))
         for turn in range(ROUNDS):
             # each round proposes every set to the head, another each time, of the list it shares most with in another component
             salt = F.xxhash64("id", F.lit(turn)) if turn else F.col("n").cast("long")
             head = now.groupBy("list").agg(F.min(F.struct(salt.alias("salt"), "id", "n", "place", "times", "c")).alias("h")).select("list", "h.*")
             both = side(now, "x").join(side(head, "y"), "list").where(near & F.expr("cx <> cy"))
             best = both.groupBy("idx", "idy").agg(F.sum("tx").alias("times")).groupBy("idx").agg(F.max(F.struct("times", "idy")).alias("best"))
-            new = self.verified(best.select(F.col("idx").alias("a"), F.col("best.idy").alias("b")))
-            links = new if links is None else table(links.unionByName(new), "links")
-            known = components(links)
+            known = extended(known, self.verified(best.select(F.col("idx").alias("a"), F.col("best.idy").alias("b"))))
             now = lists.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
             open_ = now.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
             now = table(now.join(open_, "list"), "open")
         # sets of one list that still lie in different components are the pairs left
         rest = side(now, "x").join(side(now, "y"), "list").where(near & F.expr("cx < cy")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
-        return links.unionByName(self.verified(rest))
+        return extended(known, self.verified(rest))
 
     def result(self) -> DataFrame:
-        found = components(self.links()).withColumnRenamed("node", "rep")
+        found = self.components().withColumnRenamed("node", "rep")
         return self.member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
