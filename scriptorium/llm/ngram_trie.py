@@ -25,17 +25,22 @@ from .words import chunks, one_hash, words
 
 END = np.uint64(one_hash(b"\x00end of text\x00".replace(b" ", b"\xff")))  # \xff is never in UTF-8, so no word has this hash
 BLOCK = 1_500_000
+#: High bits to an entry of the directory.
+SPAN = 512
 
 
 class EliasFano:
-    """A strictly or weakly rising sequence of integers below ``universe``, in about 2 + log2(universe / n) bits each."""
+    """A strictly or weakly rising sequence of integers below ``universe``, in about 2 + log2(universe / n) bits each.
+
+    A directory has the ones before every ``SPAN`` high bits: lookups read the places that they need, never the whole.
+    """
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         n = len(values)
         low = max(0, int(np.floor(np.log2(max(1, universe) / max(1, n)))))
         v = values.astype(np.uint64)
-        high = np.zeros(((n + (universe >> low) + 8) // 8 + 1) * 8, bool)
+        high = np.zeros(-(-(n + (universe >> low) + 8) // SPAN) * SPAN, bool)
         high[(v >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
         packed = np.zeros(n * low // 64 + 2, np.uint64)
         if low and n:
@@ -45,13 +50,38 @@ class EliasFano:
             np.bitwise_or.at(packed, word, bits << shift)
             over = np.flatnonzero(shift + np.uint64(low) > np.uint64(64))
             np.bitwise_or.at(packed, word[over] + 1, bits[over] >> (np.uint64(64) - shift[over]))
-        return {"high": np.packbits(high), "low": packed, "head": np.array([n, low], np.int64)}
+        words_ = np.packbits(high, bitorder="little").view(np.uint64)
+        return {"high": words_, "low": packed, "rank": EliasFano.ranks(words_), "head": np.array([n, low], np.int64)}
+
+    def __init__(self, head: np.ndarray, high: np.ndarray, low: np.ndarray, rank: np.ndarray | None = None):
+        """Without ``rank``, the directory is counted anew from the high bits."""
+        self.n, self.bits, self.high, self.packed = int(head[0]), int(head[1]), high, low
+        self.ones = self.ranks(high) if rank is None else np.asarray(rank)
+        self.zeros = np.arange(len(self.ones)) * SPAN - self.ones
 
-    def __init__(self, head: np.ndarray, high: np.ndarray, low: np.ndarray):
-        self.n, self.bits, self.packed = int(head[0]), int(head[1]), low
-        self.raised = np.unpackbits(np.asarray(high)).view(bool)
-        ones = np.flatnonzero(self.raised)[: self.n]
-        self.highs = ones - np.arange(self.n)
+    @staticmethod
+    def ranks(high: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, SPAN // 64).sum(1))]).astype(np.int64)
+
+    def select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Where the k-th one (or zero) of the high bits stands, from 0: by the directory, then by words, then by bits."""
+        directory, flip = (self.ones, np.uint64(0)) if ones else (self.zeros, np.uint64(2**64 - 1))
+        span = np.searchsorted(directory, k, "right") - 1
+        rest, at = k - directory[span], span * (SPAN // 64)
+        for _ in range(SPAN // 64 - 1):
+            c = np.bitwise_count(self.high[at] ^ flip)
+            beyond = rest >= c
+            rest -= np.where(beyond, c, 0)
+            at += beyond
+        word, at = self.high[at] ^ flip, at * 64
+        for step in (32, 16, 8, 4, 2, 1):
+            right = word & np.uint64((1 << step) - 1)
+            c = np.bitwise_count(right)
+            beyond = rest >= c
+            rest -= np.where(beyond, c, 0)
+            at += np.where(beyond, step, 0)
+            word = np.where(beyond, word >> np.uint64(step), right)
+        return at
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -61,28 +91,30 @@ class EliasFano:
         right = self.packed[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
         return ((self.packed[word] >> shift) | right) & np.uint64((1 << self.bits) - 1)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return ((self.select(i, True) - i) << self.bits) | self.lows(i).astype(np.int64)
+
     def values(self) -> np.ndarray:
-        return (self.highs.astype(np.int64) << self.bits) | self.lows(np.arange(self.n)).astype(np.int64)
+        return self.get(np.arange(self.n))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key stands, or -1: its bucket of high bits is scanned for its low bits."""
+        """Where each key below the universe stands, or -1: its bucket of high bits is searched for its low bits."""
         out = np.full(len(keys), -1, np.int64)
-        if not self.n:
+        if not self.n or not len(keys):
             return out
-        zeros = np.flatnonzero(~self.raised)  # the k-th zero ends bucket k
-        starts = np.concatenate([[0], zeros - np.arange(len(zeros))])
-        most = len(zeros) - 1
         h = (keys >> self.bits).astype(np.int64)
-        inside = np.minimum(h, most)
-        s, e = starts[inside], starts[inside + 1]
+        # the k-th zero ends bucket k
+        s, e = np.where(h > 0, self.select(np.maximum(h - 1, 0), False) - h + 1, 0), self.select(h, False) - h
         low = (keys & ((1 << self.bits) - 1)).astype(np.uint64)
-        open_ = np.flatnonzero((h <= most) & (s < e))
-        while len(open_):
-            hit = self.lows(s[open_]) == low[open_]
-            out[open_[hit]] = s[open_[hit]]
-            s[open_] += 1
-            open_ = open_[~hit]
-            open_ = open_[s[open_] < e[open_]]
+        end, wide = e.copy(), np.flatnonzero(s < e)
+        while len(wide):
+            middle = (s[wide] + e[wide]) >> 1
+            less = self.lows(middle) < low[wide]
+            s[wide[less]], e[wide[~less]] = middle[less] + 1, middle[~less]
+            wide = wide[s[wide] < e[wide]]
+        some = np.flatnonzero(s < end)
+        some = some[self.lows(s[some]) == low[some]]
+        out[some] = s[some]
         return out
 
 
@@ -256,6 +288,24 @@ def fit(texts: DataFrame) -> Trie:
     return trie
 
 
+class Shard:
+    """Level 2 of one shard, opened."""
+
+    def __init__(self, place: str, p: int):
+        get = lambda x: get_array(f"{place}/{p}", x)
+        self.level, self.pointers = (EliasFano(*(get(f"{x}{y}") for y in ("head", "high", "low", "rank"))) for x in "sp")
+        self.followed, self.codes, self.book = get("followed"), get("codes"), get("book")
+
+    def back_off(self, words_: np.ndarray) -> np.ndarray:
+        """log10 of what each context word leaves to successors that never followed it; 0 where none followed."""
+        n = self.followed[words_].astype(np.float64)
+        types = self.pointers.get(words_ + 1) - self.pointers.get(words_)
+        return np.log10(np.where(n > 0, types / np.maximum(1, n + types), 1.0))
+
+    def log10(self, spot: np.ndarray) -> np.ndarray:
+        return self.book[self.codes[spot]]
+
+
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -264,7 +314,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(trie.place, trie.sizes)
-        size = vocabulary.size
+        size, shards_ = vocabulary.size, {}
         for tokens, bounds, rows in _tokens(batches, ("doc_id", "held_out")):
             own, inverse = np.unique(tokens, return_inverse=True)
             ids_of = vocabulary.ids(own)
@@ -281,23 +331,25 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             part = np.searchsorted(vocabulary.base, ids[at - 1], "right") - 1
             order = np.argsort(part, kind="stable")
             limits = np.searchsorted(part[order], np.arange(len(trie.sizes) + 1))
+            contexts = ids_of[known]
+            own_limits, back = np.searchsorted(contexts, vocabulary.base), np.zeros(len(contexts))
+            of_context = np.cumsum(known) - 1
             for p in getattr(trie, "level2", ()):
                 mine = at[order[limits[p] : limits[p + 1]]]
                 if not len(mine):
                     continue
-                place = f"{trie.place}/{p}"
-                level = EliasFano(*(get_array(place, x) for x in ("shead", "shigh", "slow")))
-                types = np.diff(EliasFano(*(get_array(place, x) for x in ("phead", "phigh", "plow"))).values())
-                v, u = ids[mine - 1] - vocabulary.base[p], ids[mine]
-                spot = np.full(len(mine), -1, np.int64)
-                seen = u >= 0
-                spot[seen] = level.find(v[seen] * size + u[seen])
-                followed = get_array(place, "followed")[v].astype(np.float64)
-                t = types[v].astype(np.float64)
-                back = np.where(followed > 0, t / np.maximum(1, followed + t), 1.0)
-                found = spot >= 0
-                codes = get_array(place, "codes")[np.maximum(spot, 0)]
-                log[mine] = np.where(found, get_array(place, "book")[codes], np.log10(back) + base[mine])
+                shard = shards_.get(p) or Shard(trie.place, p)
+                if trie.place.startswith("file:"):  # mapped: an open shard holds no memory
+                    shards_[p] = shard
+                here = slice(own_limits[p], own_limits[p + 1])
+                back[here] = shard.back_off(contexts[here] - vocabulary.base[p])
+                u = ids[mine]
+                log[mine] += back[of_context[inverse[mine - 1]]]
+                mine = mine[u >= 0]
+                keys, again = np.unique((ids[mine - 1] - vocabulary.base[p]) * size + ids[mine], return_inverse=True)
+                spot = shard.level.find(keys)
+                found = np.flatnonzero(spot[again] >= 0)
+                log[mine[found]] = shard.log10(spot[again[found]])
             sums = lambda x: np.add.reduceat(x, bounds[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(np.diff(bounds)), pa.array(sums((counts > 0)[inverse].astype(np.int64))), pa.array(np.full(len(rows), trie.tokens, np.int64)), pa.array(sums(base)), pa.array(sums(log))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -1,6 +1,8 @@
 """The operators on small tables: brute force where SQL can't say it, and odd rows everywhere."""
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,3 +148,26 @@ def test_near_lines_are_found(spark):
     d = spark.createDataFrame([(k, t, "en", "a", 1, 0) for k, t in enumerate(lines + near)], SCHEMA)
     removed = {r.doc_id for r in line_dedup.decisions(d).where("removed").collect()}
     assert removed == set(range(60, 120))
+
+
+def test_elias_fano_dense_runs_and_repeats():
+    rng = np.random.default_rng(2)
+    v = np.unique(np.concatenate([np.arange(0, 5000, 2), rng.integers(0, 10**10, 3000)]))  # a full bucket beside sparse ones
+    e = ngram_trie.EliasFano(**ngram_trie.EliasFano.build(v, 10**10))
+    assert (e.find(v) == np.arange(len(v))).all() and (e.find(np.setdiff1d(np.arange(5000), v)) == -1).all()
+    w = np.sort(rng.integers(0, 500, 2000))
+    assert (ngram_trie.EliasFano(**ngram_trie.EliasFano.build(w, 501)).values() == w).all()
+
+
+def test_ngram_scores_match_brute_force(spark):
+    texts = [(k, " ".join(f"w{(k * j) % (5 + k % 7)}" for j in range(1 + k % 23))) for k in range(60)]
+    got = {r.doc_id: r for r in ngram_trie.score_corpus(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    train = [t.split() + ["</s>"] for k, t in texts if not got[k].held_out]
+    one, two, ctx = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:])), Counter(w for t in train for w in t[:-1])
+    types, total = Counter(v for v, _ in two), sum(one.values())
+    for k, t in texts:
+        words = t.split() + ["</s>"]
+        p1 = [(one[w] + 1) / (total + len(one) + 1) for w in words]
+        p = p1[:1] + [(two[v, w] + types[v] * q) / (ctx[v] + types[v]) if ctx[v] else q for v, w, q in zip(words, words[1:], p1[1:])]
+        assert abs(got[k].base_score - sum(map(math.log10, p1))) < 1e-6
+        assert abs(got[k].score - sum(map(math.log10, p))) < 0.05 * len(words)  # 8-bit probabilities
