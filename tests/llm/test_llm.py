@@ -55,6 +55,20 @@ def test_lines(docs, empty):
     assert line_dedup.deduplicate_lines(empty).count() == 0
 
 
+def test_lines_of_crowded_buckets(spark):
+    """Pairs of near copies in buckets that many of them share: each pair must be found, whatever the heads are."""
+    rng = np.random.default_rng(3)
+    lines = []
+    for _ in range(150):
+        own = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 18))
+        lines += [f"this passage opens every one of the lines in the table, as templates do, and then comes {own}", f"this passage opens every one of the lines in the table, as templates do, and then comes {own}."]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    like = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert like == {(2 * k, 2 * k + 1) for k in range(150)}
+    d = spark.createDataFrame([(k, x, "en", "a", 1, 0) for k, x in enumerate(lines)], SCHEMA)
+    assert {r.doc_id for r in line_dedup.decisions(d).where("removed").collect()} == {2 * k + 1 for k in range(150)}
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
     assert got[1].n_words == 120 and not got[1].base_failed and got[4].n_words == 0 and got[4].base_failed
