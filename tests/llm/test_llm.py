@@ -69,6 +69,13 @@ def test_lines_of_crowded_buckets(spark):
     assert {r.doc_id for r in line_dedup.decisions(d).where("removed").collect()} == {2 * k + 1 for k in range(150)}
 
 
+def test_short_lines(spark):
+    texts = ["Share this page\nok\n\n \n\u00fcber", "Share this page\nok\n\n \nabc", "Share this page!\nok.\n\t\nabd", "Share this\n\u00fcber"]
+    d = spark.createDataFrame([(k, x, "en", "a", 1, 0) for k, x in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.pos) for r in line_dedup.decisions(d).where("removed").collect()}
+    assert got == {(1, 0), (1, 1), (2, 0), (3, 1)}  # 11 of 12 shingles are shared; blank lines stay
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
     assert got[1].n_words == 120 and not got[1].base_failed and got[4].n_words == 0 and got[4].base_failed
