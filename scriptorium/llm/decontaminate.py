@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are compared in a plain form: ASCII letters in lower case, every run of other ASCII
-characters as one space. An item is cut into overlapping windows of ``WINDOW`` bytes. If a text region lies within k
+characters as one space. An item is cut into windows of ``WINDOW`` bytes, one every ``Q`` bytes, and of ``WORDS`` words
+(more, up to ``MIN_ITEM`` bytes), one from every word. So each exact passage of ``WORDS`` words and ``MIN_ITEM`` bytes,
+and each of ``WINDOW + Q - 1`` bytes, holds a window; items of fewer words are windows themselves. If a text region lies within k
 edits of a window of m bytes, they share at least ``m + 1 - (k + 1) * q`` q-grams whose diagonals (text position less
 window position) span at most k. So shared q-grams are counted in overlapping bands of diagonals, bands below that
 bound are dropped, and the rest are decided by a banded alignment. The filter loses no region within the budget.
@@ -21,12 +23,16 @@ from .words import BYTE_HASHES, Chunk, chunks, mix, plain_bytes, power_tables
 
 Q = 12
 WINDOW = 96
+#: Words of the shortest passage that is sure to be found.
+WORDS = 13
 #: Edits allowed per byte of a window.
 EDIT_SHARE = 0.05
 #: Items shorter than this in plain form say too little to be searched for.
 MIN_ITEM = 32
 #: Bytes of benchmark text that one pass over the documents holds in memory; larger benchmarks take more passes.
 BLOCK = 4_000_000
+#: Bytes of text searched at once: each q-gram found in it goes to some twenty windows.
+CHUNK = 1 << 18
 SCHEMA = "doc_id long, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>"
 
 
@@ -80,42 +86,69 @@ def banded_edits(pattern: bytes, text: bytes, low: int, high: int, budget: int)
     return (best, low + row.index(best) + len(pattern)) if best <= budget else None
 
 
+def _word_windows(body: bytes, words: int) -> list[tuple[int, int]]:
+    """First and end byte of every run of ``words`` words, longer ones where they have fewer than MIN_ITEM bytes.
+
+    Runs that are sure to hold a window of WINDOW bytes are left out.
+    """
+    gaps = [-1, *np.flatnonzero(np.frombuffer(body, np.uint8) == 32).tolist(), len(body)]
+    out, j = [], 0
+    for i in range(len(gaps) - words):
+        start, j = gaps[i] + 1, max(j, i + words)
+        while j < len(gaps) - 1 and gaps[j] - start < MIN_ITEM:
+            j += 1
+        if MIN_ITEM <= gaps[j] - start < WINDOW + Q - 1:
+            out.append((start, gaps[j]))
+    return out
+
+
 class Index:
-    """The windows of benchmark items and their q-grams."""
+    """The windows of benchmark items and the items' q-grams; a q-gram's windows are looked up when a text holds it."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, share: float = EDIT_SHARE):
-        self.q, self.patterns, self.item, self.budget, self.bound = q, [], [], [], []
-        codes, owner, place = [], [], []
+        self.q, bodies, base = q, [], 0
+        codes, place = [], []
+        kinds: tuple[list, list] = ([], [])  # windows of bytes, of words: (item, first, end), both ascending
         for item, text in items:
             body = plain(np.frombuffer((text or "").encode(), np.uint8))[0].tobytes().strip(b" ")
             if len(body) < MIN_ITEM:
                 continue
-            starts = [*range(0, max(1, len(body) - window + 1), window // 2)]
+            starts = [*range(0, max(1, len(body) - window + 1), q)]
             if starts[-1] + window < len(body):
                 starts.append(len(body) - window)
-            for s in starts:
-                p = body[s : s + window]
-                k = int(len(p) * share)
-                while len(p) + 1 - (k + 1) * q < 1:  # the lemma must demand a q-gram at least
-                    k -= 1
-                own = _grams(np.frombuffer(p, np.uint8), q)
-                codes.append(own)
-                owner.append(np.full(len(own), len(self.patterns)))
-                place.append(np.arange(len(own)))
-                self.patterns.append(p)
-                self.item.append(item)
-                self.budget.append(k)
-                self.bound.append(len(p) + 1 - (k + 1) * q)
+            kinds[0].extend((item, base + s, base + min(s + window, len(body))) for s in starts)
+            kinds[1].extend((item, base + s, base + e) for s, e in _word_windows(body, WORDS))
+            own = _grams(np.frombuffer(body, np.uint8), q)
+            codes.append(own)
+            place.append(base + np.arange(len(own)))
+            bodies.append(body)
+            base += len(body) + 1
+        self.body = b" ".join(bodies)
+        rows = np.array([r for kind in kinds for r in kind], np.int64).reshape(-1, 3)
+        self.item, self.first, self.end = rows.T.copy()
+        self.kinds = (0, len(kinds[0]), len(rows))
+        length = self.end - self.first
+        # the lemma must demand a q-gram at least
+        self.budgets = np.minimum((length * share).astype(np.int64), length // q - 1)
+        self.bounds = length + 1 - (self.budgets + 1) * q
         codes = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(codes, kind="stable")
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
         self.codes, first = np.unique(codes[order], return_index=True)
         self.limits = np.append(first, len(codes))
         self.bits = max(16, int(np.ceil(np.log2(len(self.codes) * 32 + 1))))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.codes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.budgets, self.bounds = np.array(self.budget, np.int64), np.array(self.bound, np.int64)
+
+    def _windows(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of q-grams at these places, every window that holds one, and which q-gram it is."""
+        pattern, which = [], []
+        for a, b in zip(self.kinds, self.kinds[1:]):
+            low = np.searchsorted(self.end[a:b] - self.q, place, "left")
+            n = np.searchsorted(self.first[a:b], place, "right") - low
+            pattern.append(a + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
+            which.append(np.repeat(np.arange(len(place)), n))
+        return np.concatenate(pattern), np.concatenate(which)
 
     def search(self, c: Chunk) -> list[list[tuple[int, int, int, int]]]:
         """For each text of a chunk the items found: (item, edits, first byte, end byte), an item once."""
@@ -134,7 +167,9 @@ class Index:
             return out
         n = self.limits[slot + 1] - self.limits[slot]
         entry = np.repeat(self.limits[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        pattern, diagonal = self.owner[entry], np.repeat(near, n) - self.place[entry]
+        place = self.place[entry]
+        pattern, which = self._windows(place)
+        diagonal = np.repeat(near, n)[which] - (place[which] - self.first[pattern])
         step = self.budgets[pattern] + 1
         band = (diagonal + len(body)) // step  # shifted, so that none is negative
         band_of = np.concatenate([band, band - 1])  # a band spans two steps, so k + 1 diagonals lie in one
@@ -146,12 +181,12 @@ class Index:
         whole = body.tobytes()
         found: set[tuple[int, int]] = set()
         for p, b in zip(pattern[full].tolist(), band[full].tolist(), strict=True):
-            k, text = self.budget[p], self.patterns[p]
+            k, text, item = int(self.budgets[p]), self.body[self.first[p] : self.end[p]], int(self.item[p])
             low = b * (k + 1) - len(body)
             high = low + 2 * (k + 1) - 1
             middle = min(max(0, low + len(text) // 2), len(body) - 1)
             row = int(np.searchsorted(rows_at, middle, "right"))
-            if (row, self.item[p]) in found:
+            if (row, item) in found:
                 continue
             start = max(0, low - k, int(rows_at[row - 1]) + 1 if row else 0)
             end = min(len(body), high + k + len(text), int(rows_at[row]) if row < len(rows_at) else len(body))
@@ -165,8 +200,8 @@ class Index:
             begin = max(start, stop - len(text))
             # places in the text: less the zero bytes put between texts and the bytes of earlier texts
             base = int(c.offsets[row]) + row
-            found.add((row, self.item[p]))
-            out[row].append((self.item[p], edits, int(at[begin]) - base, int(at[stop - 1]) + 1 - base))
+            found.add((row, item))
+            out[row].append((item, edits, int(at[begin]) - base, int(at[stop - 1]) + 1 - base))
         return out
 
 
@@ -196,7 +231,7 @@ def _searcher(items: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items)
         for batch in batches:
-            found = [x for c in chunks(batch.column("text")) for x in index.search(c)]
+            found = [x for c in chunks(batch.column("text"), CHUNK) for x in index.search(c)]
             column = lambda k, kind: pa.array([[m[k] for m in x] for x in found], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int64()), column(3, pa.int64())], names=["doc_id", "item_ids", "edits", "starts", "ends"])
 
@@ -213,7 +248,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             index = Index(items)
             for batch in batches:
-                yield batch.filter(pa.array([not x for c in chunks(batch.column("text")) for x in index.search(c)], pa.bool_()))
+                yield batch.filter(pa.array([not x for c in chunks(batch.column("text"), CHUNK) for x in index.search(c)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -93,6 +93,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, b).count() == 0
 
 
+def test_passages_of_thirteen_words_are_found(spark):
+    words = [f"{chr(97 + k % 26)}{k * 7919 % 997}{'xyz'[k % 3] * (k % 4)}" for k in range(60)]
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(k, f"before {' '.join(words[k : k + 13])} after", "en", "a", 1, 0) for k in range(48)]
+    rows += [(100 + k, f"before {' '.join(words[k : k + 5])} after", "en", "a", 1, 0) for k in range(56)]
+    found = decontaminate.matches(spark.createDataFrame(rows, SCHEMA), b).where("size(item_ids) > 0")
+    assert sorted(r.doc_id for r in found.collect()) == list(range(48))
+
+
 def test_token_counts_are_the_library_s(docs):
     import public_tokenizers
     import sentencepiece
