@@ -9,8 +9,9 @@ Documents with equal shingle sets form a class at once. Then, among classes:
   documents. A light set that a heavy one could link with is in those lists too;
 * the boundary has the least estimated cost, from the size histogram and the mean list length.
 
-A list of m sets isn't expanded into pairs: each set is proposed to the list's head, links are verified exactly, and
-only sets that then lie in different components are paired, behind a bitmap bound that never rejects a true link.
+The join's links are all pairs of a list, dealt in slices, that sizes and places allow, behind a bitmap bound that never
+rejects a true link; each is verified exactly. Where components alone are wanted, a list isn't expanded into pairs: each
+set is proposed to the list's head, and only sets that then lie in different components are paired.
 
 What travels is packed: a task sends each partition one byte string of postings (5 bytes of key, 2 of local document).
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import extended
+from .components import components, extended
 from .shared import folder, shards, table
 from .words import Chunk, Words, chunks, mix, shingle_set, words
 
@@ -300,6 +301,10 @@ def _wanted_sets(filter_bits):
 BUCKETS = 1 << 20
 #: Rounds of head proposals before the pairs left are enumerated.
 ROUNDS = 3
+#: Classes of a list that one join key's left side holds, about.
+SLICE = 64
+#: A link of x and y in a list shares at most what either has from its place in the list on.
+NEAR = f"{NUM} * nx <= {DEN} * ny and {NUM} * ny <= {DEN} * nx and {DEN + NUM} * least(nx - px, ny - py) >= {NUM} * (nx + ny)"
 
 
 class Join:
@@ -371,8 +376,7 @@ class Join:
     def components(self) -> DataFrame:
         """Every class that links with another: ``(node, component)``, by verified links alone."""
         lists = self.lists()
-        # a link of a and b shares at most what either has from its place in the list on
-        near = F.expr(f"{NUM} * nx <= {DEN} * ny and {NUM} * ny <= {DEN} * nx and {DEN + NUM} * least(nx - px, ny - py) >= {NUM} * (nx + ny)")
+        near = F.expr(NEAR)
         side = lambda rows, s: rows.select("list", *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"), ("times", "t"), ("c", "c"))))
         self.keep_sets(lists)
         known, now = None, lists.withColumn("c", F.col("id"))
@@ -390,13 +394,37 @@ class Join:
         rest = side(now, "x").join(side(now, "y"), "list").where(near & F.expr("cx < cy")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
         return extended(known, self.verified(rest))
 
+    def links(self) -> DataFrame:
+        """Every pair (a, b), a < b, of classes that link, as a table; ``member`` names the documents of a class."""
+        lists = self.lists()
+        self.keep_sets(lists)
+        many = lists.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.count("*").alias("m")).where("m > 1")
+        rows = lists.join(many, "list")
+        side = lambda s, at: rows.select("list", at.alias("slice"), *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"))))
+        x = side("x", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        y = side("y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        pairs = x.join(y, ["list", "slice"]).where(F.expr(f"idx < idy and {NEAR}"))
+        return self.verified(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
+
     def result(self) -> DataFrame:
+        links = self.links()
+        found = components(links).withColumnRenamed("node", "rep")
+        size = table(self.member.where("n > 0 and doc_id is not null").groupBy("rep").agg(F.count("*").alias("size")), "size")
+        ways = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("to")))
+        others = ways.join(size.withColumnRenamed("rep", "to"), "to").groupBy("rep").agg(F.sum("size").alias("others"))
+        of = size.join(others, "rep", "left").join(found, "rep", "left").withColumn("links", F.col("size") - 1 + F.coalesce("others", F.lit(0)))
+        n_links = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("links")).otherwise(0)
+        return self.member.join(of, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), n_links.cast("long").alias("n_links"))
+
+    def grouped(self) -> DataFrame:
+        """``(doc_id, component_id)``, by the links that components need."""
         found = self.components().withColumnRenamed("node", "rep")
-        return self.member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        return self.member.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``n_shingles`` and ``component_id``, the least id reachable by links.
+    """One row per row of ``docs(doc_id, text)``: ``n_shingles``, ``component_id``, the least id reachable by
+    links, and ``n_links``, how many other rows with an id its text links with. ``Join.links`` has the links themselves.
 
     A null or empty text, or one of white space only, has an empty set and is linked with nothing. Very long texts are
     taken whole. Rows with equal sets share a class, repeated rows too. A row without id keeps a null component. An
@@ -407,7 +435,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is their component's least; of repeated ids all rows stay."""
-    found = near_duplicates(docs)
+    found = Join(docs).grouped()
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 

@@ -49,6 +49,22 @@ def test_small_sets_link_by_subsets(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}  # 9 of 10 and 9 of 10 shingles; 1 of 2
 
 
+def test_every_link_is_found(spark, docs, empty):
+    words = [f"w{k}" for k in range(130)]
+    texts = [" ".join(words[3 * k : 3 * k + 100]) for k in range(8)] + [" ".join(words[:100]), " ".join(words[:13]), " ".join(words[:14]), "", None]
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((x or "").split() for x in texts)]
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b) > 0
+    want = {i: sum(i != j and like(a, b) for j, b in enumerate(shingles)) for i, a in enumerate(shingles)}
+    d = spark.createDataFrame([(k, x, "en", "a", 1, 0) for k, x in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(d).collect()}
+    assert {k: r.n_links for k, r in got.items()} == want and want[3] == 7
+    assert {r.component_id for k, r in got.items() if k < 9} == {0}
+    assert {(r.a, r.b) for r in jaccard_join.Join(d).links().collect()} == {(i, j) for j in range(13) for i in range(j) if j != 8 and like(shingles[i], shingles[j])}
+    assert {r.doc_id for r in jaccard_join.distinct_documents(d).collect()} == {0, 9, 11, 12}
+    assert {(r.doc_id, r.n_links) for r in jaccard_join.near_duplicates(docs).collect()} >= {(1, 2), (4, 0), (5, 0), (7, 1)}
+    assert jaccard_join.Join(empty).links().count() == 0
+
+
 def test_lines(docs, empty):
     assert line_dedup.decisions(docs).where("removed").count() == 1  # 3 repeats 1 closely; 2 differs in case
     assert line_dedup.deduplicate_lines(docs).count() == docs.count() - 1
