@@ -17,8 +17,10 @@ from .shared import table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: The dynamic program's table has at most so many sums (words) per source.
+#: Words left open for the dynamic program; documents longer than this may leave it more, up to the longest's length.
 RESERVE = 60_000
+#: Where the target isn't met, the program is given more documents anew, up to so many words.
+WIDEST = 4_000_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -44,8 +46,21 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int = RE
     """How many documents of each length to take so that their words sum to ``budget`` or as near below as can be.
 
     First the same share of every length, less a reserve; then a bounded-knapsack program over the documents left
-    decides the rest exactly. ``budget`` must be less than all words; lengths are positive and distinct.
+    decides the rest exactly. If the budget isn't met, the reserve is doubled, up to ``WIDEST``; a reserve of the whole
+    budget is exact. ``budget`` must be less than all words; lengths are positive and distinct.
     """
+    best = _fill(lengths, counts, budget, reserve)
+    if not len(lengths):
+        return best
+    near = min(budget, int((lengths * counts).sum()))
+    near -= near % int(np.gcd.reduce(lengths))
+    while int((lengths * best).sum()) < near and reserve < min(budget, WIDEST):
+        reserve = min(2 * reserve, WIDEST)
+        best = max(best, _fill(lengths, counts, budget, reserve), key=lambda take: int((lengths * take).sum()))
+    return best
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int) -> np.ndarray:
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -67,7 +82,7 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int = RE
             rest -= n * int(lengths[k])
             if rest <= reserve:
                 break
-    rest = min(rest, 2 * reserve)
+    # documents left are longer than rest - reserve // 2 here, so the table is no longer than the reserve and the longest
     reach = np.zeros(rest + 1, bool)
     reach[0] = True
     step, size = np.full(rest + 1, -1, np.int32), np.zeros(rest + 1, np.int32)

@@ -138,6 +138,14 @@ def test_mix(docs, empty):
     assert int((n * mixing.fill(n, np.array([4, 4, 4]), 30)).sum()) == 30
 
 
+def test_fill_takes_long_documents():
+    words = lambda lengths, counts, budget: int((np.array(lengths) * mixing.fill(np.array(lengths), np.array(counts), budget)).sum())
+    assert words([140_000], [10], 150_000) == 140_000
+    assert words([140_000], [10], 990_000) == 980_000
+    assert words([100_000, 140_000], [2, 1], 200_000) == 200_000
+    assert words([7, 500_000], [3, 4], 1_100_000) == 1_000_021
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     v = np.unique(rng.integers(0, 10**9, 5000))
