@@ -34,7 +34,7 @@ def bucket_ids(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _padded(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text followed by empty words, one more than the widest filter needs, so that windows never span two texts."""
+    """Each text followed by as many empty words as the widest filter has, so that even an empty text has a window of its own."""
     pad = max(WIDTHS)
     n = np.diff(bounds)
     starts = bounds[:-1] + pad * np.arange(len(n))
@@ -60,6 +60,8 @@ class Model:
         for k in WIDTHS:
             m = n - k + 1
             z = sum(x[j : j + m] @ self.w[k][j] for j in range(k))
+            for j in range(1, k):  # windows that begin in the padding and reach the next text belong to none
+                z[starts[1:] - j] = -np.inf
             most = np.maximum.reduceat(z, starts, axis=0)
             pooled.append(most + self.b[k])
             if at:
@@ -124,7 +126,8 @@ class Model:
         return np.maximum(pooled, 0) @ self.v + self.c
 
     def scores(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(ids, bounds) + self.shift, -30, 30).astype(np.float64)))
+        """Rounded, so that sums taken in another order beside other texts leave no trace."""
+        return np.round(1 / (1 + np.exp(-np.clip(self.scale * self.logits(ids, bounds) + self.shift, -30, 30).astype(np.float64))), 6)
 
 
 def best_cut(scores: np.ndarray, y: np.ndarray) -> float | None:
