@@ -38,7 +38,7 @@ class LinearModel:
         return F.when(self.score() >= self.threshold, "machine").otherwise("human")
 
     def state(self) -> Column:
-        """Inconclusive where a field is missing."""
+        """Inconclusive where a field is missing. The states' names are fixed values."""
         score = self.score()
         return F.when(score.isNull(), "inconclusive").when(score >= self.threshold, "machine_signal_detected").otherwise("no_strong_signal_detected")
 
@@ -62,3 +62,17 @@ def evidence(rows: DataFrame, model: LinearModel, keys: list[str], n: int = 3) -
     out = rows.select(*keys, F.posexplode(best).alias("pos", "e"))
     direction = F.when(F.col("e.value") > F.col("e.reference"), "higher").otherwise("lower")
     return out.select(*keys, (F.col("pos") + 1).alias("rank"), "e.field", F.round("e.value", 4).alias("value"), direction.alias("direction"), F.round("e.contribution", 6).alias("contribution"))
+
+
+def localized(sentences: DataFrame, model: LinearModel, k: int = 3, doc: str = "doc_id", index: str = "i") -> DataFrame:
+    """Per document: how many sentences can be scored, the ``k`` best with their evidence, in order, the incomplete ones
+    with what they miss, and a reason where nothing can be scored."""
+    r = ranked(sentences, model, doc, index)
+    total = r.groupBy(doc).agg(F.count("*").alias("total_scorable"))
+    best = r.where(F.col("rank") <= k)
+    own = evidence(best, model, [doc, index]).groupBy(doc, index).agg(F.array_sort(F.collect_list(F.struct("rank", "field", "value", "direction", "contribution"))).alias("evidence"))
+    tops = best.select(doc, index, "rank", "score").join(own, [doc, index]).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("rank", index, "score", "evidence"))).alias("candidates"))
+    out = skipped(sentences, model).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(index, "missing_fields"))).alias("skipped"))
+    docs = sentences.select(doc).distinct().join(total, doc, "left").join(tops, doc, "left").join(out, doc, "left")
+    none = F.col("total_scorable").isNull()
+    return docs.withColumn("reason", F.when(none, "no sentence can be scored")).withColumn("total_scorable", F.coalesce("total_scorable", F.lit(0)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..operators import evaluation as E
+from ..operators import features as V
 from ..operators import scoring, spans
-from .queries import _FOLD, _SENTENCES, _TOKENS, _WORDS, query
+from .queries import _SENTENCES, _WORDS, _rounded, query
 
 #: A model to exercise scoring with; its values are arbitrary.
 MODEL = scoring.LinearModel(("word_count", "char_count", "punctuation_count", "avg_word_length"), (12.0, 60.0, 2.0, 5.0), (6.0, 30.0, 1.5, 1.2), (0.5, -0.3, 0.4, 0.25), -0.1, 0.47)
@@ -20,9 +21,7 @@ _SCORE = f"1 / (1 + exp(-(CAST({MODEL.intercept} AS DOUBLE) + {' + '.join(_PARTS
 
 
 def _features(t):
-    s = t("documents").select("doc_id", F.posexplode(T.sentences()).alias("i", "text")).select("doc_id", "i", "text", T.words().alias("w"))
-    n, chars = F.size("w"), F.char_length(F.concat_ws("", "w"))
-    return s.select("doc_id", "i", n.alias("word_count"), chars.alias("char_count"), F.regexp_count("text", F.lit("\\p{P}")).alias("punctuation_count"), F.when(n == 0, 0.0).otherwise(chars / n).alias("avg_word_length"))
+    return V.sentence_features(t("documents")).drop("sentence")
 
 
 @query(f"SELECT doc_id, i, word_count, char_count, punctuation_count, round(avg_word_length, 6) AS avg_word_length FROM {_FEATURES}")
@@ -64,26 +63,6 @@ def span_labels(t):
     return spans.overlap_labels(spans.pieces(t("documents"), "\n"), marked)
 
 
-#: The instruction whose words no text may repeat.
-INSTRUCTION = "rewrite the following text so that it reads like a new one and keep its length"
-_GRAMS = [" ".join(INSTRUCTION.split()[k : k + 6]) for k in range(len(INSTRUCTION.split()) - 5)]
-
-
-@query(f"SELECT doc_id, regexp_matches({_FOLD}, '{'|'.join(_GRAMS)}') AS leaks FROM documents")
-def instruction_leakage(t):
-    return t("documents").select("doc_id", T.folded().rlike("|".join(_GRAMS)).alias("leaks"))
-
-
-@query(f"""WITH a AS (SELECT doc_id, {_TOKENS.replace('text', 'lower(text)')} AS w FROM documents),
-g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) >= 3)),
-c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL)
-SELECT doc_id, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) > 0.3 AS repetitive FROM c GROUP BY doc_id""")
-def excessive_repetition(t):
-    w = t("documents").select("doc_id", F.lower("text").alias("text")).select("doc_id", T.tokens().alias("w"))
-    c = w.select("doc_id", F.explode(T.ngrams("w", 3)).alias("gram")).groupBy("doc_id", "gram").count()
-    return c.groupBy("doc_id").agg((F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)) / F.sum("count") > 0.3).alias("repetitive"))
-
-
 @query("SELECT source, count(*) AS n, count_if(lang = 'en') AS en, count_if(lang <> 'en') AS others, count_if(text IS NULL) AS missing FROM documents GROUP BY source")
 def class_balance(t):
     other = F.col("lang") != "en"
@@ -98,10 +77,21 @@ g AS (SELECT a.k AS y, b.k AS p FROM range(3) a(k), range(3) b(k))
 SELECT CAST(g.y AS INTEGER) AS y, CAST(g.p AS INTEGER) AS p, count(x.y) AS n FROM g LEFT JOIN x ON g.y = x.y AND g.p = x.p GROUP BY g.y, g.p""")
 def confusion_grid(t):
     """All nine cells, empty ones too."""
-    x = t("documents").select("doc_id", "n_chars").join(t("labels"), "doc_id").select((F.col("quality") + F.col("toxic")).alias("y"), F.expr(_CLASS).alias("p"))
-    counts = x.groupBy("y", "p").agg(F.count("*").alias("n"))
-    grid = t("region").sparkSession.range(9).select((F.col("id") / 3).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("p"))
-    return grid.join(counts, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).alias("n"))
+    return E.confusion_grid(_classed(t), 3)
+
+
+def _classed(t):
+    x = t("documents").select("doc_id", "n_chars").join(t("labels"), "doc_id")
+    return x.select((F.col("quality") + F.col("toxic")).alias("y"), F.expr(_CLASS).alias("p"))
+
+
+@query(f"""WITH x AS (SELECT quality + toxic AS y, {_CLASS} AS p FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT k AS class, (SELECT count(*) FROM x WHERE y = k) AS support, (SELECT count(*) FROM x WHERE p = k) AS said, (SELECT count(*) FROM x WHERE y = k AND p = k) AS t FROM range(3) r(k)),
+m AS (SELECT *, CASE WHEN said = 0 THEN 0.0 ELSE t / said END AS precision, CASE WHEN support = 0 THEN 0.0 ELSE t / support END AS recall, CASE WHEN said + support = 0 THEN 0.0 ELSE 2 * t / (said + support) END AS f1 FROM c)
+SELECT CAST(class AS INTEGER) AS class, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(sum(support) OVER () AS BIGINT) AS n, round(sum(t) OVER () / sum(support) OVER (), 6) AS accuracy,
+  round(avg(CASE WHEN said + support > 0 THEN f1 END) OVER (), 6) AS macro_f1, round(sum(f1 * support) OVER () / sum(support) OVER (), 6) AS weighted_f1 FROM m""")
+def multiclass_metrics(t):
+    return _rounded(E.multiclass_metrics(_classed(t), 3))
 
 
 @query(f"""WITH r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY {_SCORE} DESC, i) AS rank, punctuation_count > 3 AS positive FROM {_FEATURES})
