@@ -9,27 +9,27 @@ Documents with equal shingle sets form a class at once. Then, among classes:
   documents. A light set that a heavy one could link with is in those lists too;
 * the boundary has the least estimated cost, from the size histogram and the mean list length.
 
-The join's links are all pairs of a list, dealt in slices, that sizes and places allow, behind a bitmap bound that never
-rejects a true link; each is verified exactly. Where components alone are wanted, a list isn't expanded into pairs: each
-set is proposed to the list's head, and only sets that then lie in different components are paired.
+Lists aren't expanded into pairs: each set is proposed to heads of its lists, and only sets that then lie in different
+components are paired, where sizes, places and a bitmap bound that never rejects a true link allow one. So all components
+are known, and every link lies in one of them. The links themselves are counted in blocks of a component's sets: a task
+compares two blocks by their incidence matrices and gives counts by set, not pairs.
 
 What travels is packed: a task sends each partition one byte string of postings (5 bytes of key, 2 of local document).
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components, extended
-from .shared import folder, shards, table
+from .components import extended
+from .shared import bucketed, drop, shards, table
 from .words import Chunk, Words, chunks, mix, shingle_set, words
 
 SIZE = 5
@@ -86,7 +86,7 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: set size, two order-free hashes of the set, and its parity bitmap."""
+    """Per row: set size, two order-free hashes of the set, and its parity bitmap as longs."""
     for batch in batches:
         n, k1, k2, bits = [], [], [], []
         for c in chunks(batch.column("text")):
@@ -96,7 +96,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k2.append(mix(s, 2).sum(dtype=np.uint64))
                 bits.append(_bitmap(s))
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        yield _batch(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int64()), k1=pa.array(signed(k1), pa.int64()), k2=pa.array(signed(k2), pa.int64()), bits=pa.array(bits, pa.binary()))
+        yield _batch(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int64()), k1=pa.array(signed(k1), pa.int64()), k2=pa.array(signed(k2), pa.int64()), bits=pa.array([np.frombuffer(b, np.int64) for b in bits], pa.list_(pa.int64())))
 
 
 def _packed_counts(parts: int):
@@ -269,16 +269,77 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(list=pa.array(name[a:b].view(np.int64), pa.int64()), doc_id=pa.array(i[a:b], pa.int64()), n=pa.array(n[a:b], pa.int32()), place=pa.array(place[a:b], pa.int32()), times=pa.array(weight[a:b], pa.int32()))
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and bitmaps leave a link possible: |A xor B| is at least the bitmaps' distance."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        na, nb = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("na", "nb"))
-        bits = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for x in ("bits_a", "bits_b")]
-        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)
-        most = np.minimum(np.minimum(na, nb), (na + nb - apart) // 2)
-        yield batch.select(["a", "b"]).filter(pa.array((DEN + NUM) * most >= NUM * (na + nb)))
+def _possible(x: str, y: str) -> Column:
+    """Whether sizes and bitmaps of the sides x and y leave a link possible: |A xor B| is at least the bitmaps' distance."""
+    apart = sum((F.bit_count(F.col(f"bits{x}")[k].bitwiseXOR(F.col(f"bits{y}")[k])) for k in range(BITMAP // 64)), F.lit(0))
+    both = F.col(f"n{x}") + F.col(f"n{y}")
+    most = F.least(F.col(f"n{x}"), F.col(f"n{y}"), F.shiftright(both - apart, 1))
+    return (DEN + NUM) * most >= NUM * both
+
+
+def linking(na: np.ndarray, nb: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    return DEN * shared >= NUM * (na + nb - shared)
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right one, by products of their incidence matrices."""
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    tokens, inverse, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    common = times > 1
+    column = np.cumsum(common) - 1
+    own = common[inverse]
+    owner, inverse, width = owner[own], column[inverse[own]], int(common.sum())
+    out = np.zeros((len(left), len(right)), np.int64)
+    step = max(1, 4_000_000 // (len(left) + len(right)))
+    order = np.argsort(inverse, kind="stable")
+    owner, inverse = owner[order], inverse[order]
+    for a in range(0, width, step):
+        lo, hi = np.searchsorted(inverse, (a, a + step))
+        m = np.zeros((len(left) + len(right), min(step, width - a)), np.float32)
+        m[owner[lo:hi], inverse[lo:hi] - a] = 1
+        out += np.rint(m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _linked_blocks(as_pairs: bool):
+    """Of rows sorted by (component, lo, hi), the links between the sets of blocks lo and hi of a component: as pairs
+    (a, b), or by set as ``others``: how many documents it links with."""
+
+    def of(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+        lo, hi = rows[0][1], rows[0][2]
+        left = [x for x in rows if x[3] == lo]
+        right = left if lo == hi else [x for x in rows if x[3] == hi]
+        if not left or not right:
+            return
+        n, ids, size = ([np.array([x[k] for x in side], np.int64) for side in (left, right)] for k in (5, 4, 6))
+        hit = linking(n[0][:, None], n[1][None, :], _shared([x[7] for x in left], [x[7] for x in right]))
+        if lo == hi:
+            np.fill_diagonal(hit, False)
+        if as_pairs:
+            i, j = np.nonzero(np.triu(hit) if lo == hi else hit)
+            yield np.minimum(ids[0][i], ids[1][j]), np.maximum(ids[0][i], ids[1][j])
+        else:
+            yield ids[0], hit @ size[1]
+            if lo != hi:
+                yield ids[1], size[0] @ hit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("a", "b") if as_pairs else ("id", "others")
+        held, key = [], None
+        out = lambda found: _batch(**{c: pa.array(x, pa.int64()) for c, x in zip(names, found, strict=True)})
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "lo", "hi", "block", "id", "n", "size")]
+            lists = batch.column("shingles")
+            for k, row in enumerate(zip(*columns, strict=True)):
+                if row[:3] != key:
+                    for found in of(held) if held else ():
+                        yield out(found)
+                    held, key = [], row[:3]
+                held.append((*row, lists[k].values.to_numpy(zero_copy_only=False)))
+        for found in of(held) if held else ():
+            yield out(found)
+
+    return run
 
 
 def _wanted_sets(filter_bits):
@@ -303,6 +364,10 @@ BUCKETS = 1 << 20
 ROUNDS = 3
 #: Classes of a list that one join key's left side holds, about.
 SLICE = 64
+#: Sets and shingles of a block of a component, about.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
+#: Pairs that ask for one copy of a set, about.
+COPY = 256
 #: A link of x and y in a list shares at most what either has from its place in the list on.
 NEAR = f"{NUM} * nx <= {DEN} * ny and {NUM} * ny <= {DEN} * nx and {DEN + NUM} * least(nx - px, ny - py) >= {NUM} * (nx + ny)"
 
@@ -314,7 +379,7 @@ class Join:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.parts = shards(self.spark)
-        self.digest = table(self.docs.mapInArrow(_digest, "doc_id long, n long, k1 long, k2 long, bits binary"), "digest")
+        self.digest = table(self.docs.mapInArrow(_digest, "doc_id long, n long, k1 long, k2 long, bits array<long>"), "digest")
         key = ["n", "k1", "k2"]
         classes = self.digest.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
         # a document's class is its set's least id
@@ -359,25 +424,28 @@ class Join:
         # with repeated ids, a class's id may name rows of other texts too: the class's set is the one with its hash
         own = self.heads.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("k1").alias("own"))
         sets = sets.join(own, F.expr("doc_id = id and (k1 ^ own) = 0")).select("id", "shingles")
-        self.sets = f"sets_{uuid.uuid4().hex}"
-        place = f"{folder(self.spark)}/{self.sets}"
-        sets.write.option("path", place).option("compression", "zstd").bucketBy(self.parts, "id").format("parquet").saveAsTable(self.sets)
+        self.sets = bucketed(sets.repartition(self.parts, "id"), "id", "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of proposed pairs (a, b) of class ids those that link."""
-        left, right = (self.heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-        possible = table(pairs.join(left, "a").join(right, "b").mapInArrow(_possible, "a long, b long"), "possible")
-        sets = self.spark.table(self.sets)
-        left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        both = possible.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        linked = both.where(f"{DEN} * both >= {NUM} * (size(sa) + size(sb) - both)")
-        return table(linked.select("a", "b").distinct(), "linked")
+        """Of proposed pairs (a, b) of class ids those that link, as a table. Many pairs may have one b: its set is dealt in copies."""
+        left, right = (self.heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+        possible = table(pairs.join(left, "a").join(right, "b").where(_possible("a", "b")).select("a", "b"), "possible")
+        copies = possible.groupBy("b").agg(F.ceil(F.count("*") / COPY).cast("int").alias("copies"))
+        dealt = possible.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+        sets = self.sets
+        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(copies, "b")
+        right = right.select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        both = dealt.join(left, "a").join(right, ["b", "copy"]).withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        linked = table(both.where(f"{DEN} * both >= {NUM} * (size(sa) + size(sb) - both)").select("a", "b").distinct(), "linked")
+        drop(possible)
+        return linked
 
     def components(self) -> DataFrame:
         """Every class that links with another: ``(node, component)``, by verified links alone."""
         lists = self.lists()
         near = F.expr(NEAR)
-        side = lambda rows, s: rows.select("list", *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"), ("times", "t"), ("c", "c"))))
+        side = lambda rows, s, *more: rows.select("list", *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"), ("times", "t"), ("c", "c"))), *more)
         self.keep_sets(lists)
         known, now = None, lists.withColumn("c", F.col("id"))
         for turn in range(ROUNDS):
@@ -386,39 +454,52 @@ class Join:
             head = now.groupBy("list").agg(F.min(F.struct(salt.alias("salt"), "id", "n", "place", "times", "c")).alias("h")).select("list", "h.*")
             both = side(now, "x").join(side(head, "y"), "list").where(near & F.expr("cx <> cy"))
             best = both.groupBy("idx", "idy").agg(F.sum("tx").alias("times")).groupBy("idx").agg(F.max(F.struct("times", "idy")).alias("best"))
-            known = extended(known, self.verified(best.select(F.col("idx").alias("a"), F.col("best.idy").alias("b"))))
+            links = self.verified(best.select(F.col("idx").alias("a"), F.col("best.idy").alias("b")))
+            known = extended(known, links)
+            drop(links, *([now] if turn else []))
             now = lists.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            open_ = now.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
+            open_ = now.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).where("c1 <> c2").select("list", "slices")
             now = table(now.join(open_, "list"), "open")
-        # sets of one list that still lie in different components are the pairs left
-        rest = side(now, "x").join(side(now, "y"), "list").where(near & F.expr("cx < cy")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
-        return extended(known, self.verified(rest))
+        # sets of one list that still lie in different components are the pairs left, a list's left side dealt in slices
+        rest = now.join(self.heads.select(F.col("doc_id").alias("id"), "bits"), "id")
+        x = side(rest, "x", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.col("bits").alias("bitsx"))
+        y = side(rest, "y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("bits").alias("bitsy"))
+        pairs = x.join(y, ["list", "slice"]).where(F.expr("cx < cy") & near & _possible("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+        links = self.verified(pairs.distinct())
+        known = extended(known, links)
+        drop(links, now, lists)
+        return known
+
+    def _blocks(self, found: DataFrame) -> DataFrame:
+        """The sets of each component, dealt in blocks: a row per pair of blocks (lo, hi), lo <= hi, that a set is in."""
+        of = self.heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "n", "component")
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        of = of.join(of.groupBy("component").agg(blocks), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = of.join(self.sizes(), "id").join(self.sets, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "n", "size", "shingles")
+        return rows.repartition(self.parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def sizes(self) -> DataFrame:
+        return self.member.where("n > 0 and doc_id is not null").groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("size"))
 
     def links(self) -> DataFrame:
-        """Every pair (a, b), a < b, of classes that link, as a table; ``member`` names the documents of a class."""
-        lists = self.lists()
-        self.keep_sets(lists)
-        many = lists.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.count("*").alias("m")).where("m > 1")
-        rows = lists.join(many, "list")
-        side = lambda s, at: rows.select("list", at.alias("slice"), *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"))))
-        x = side("x", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-        y = side("y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        pairs = x.join(y, ["list", "slice"]).where(F.expr(f"idx < idy and {NEAR}"))
-        return self.verified(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
+        """Every pair (a, b), a < b, of classes that link; ``member`` names the documents of a class."""
+        return self._blocks(self.components()).mapInArrow(_linked_blocks(True), "a long, b long")
 
     def result(self) -> DataFrame:
-        links = self.links()
-        found = components(links).withColumnRenamed("node", "rep")
-        size = table(self.member.where("n > 0 and doc_id is not null").groupBy("rep").agg(F.count("*").alias("size")), "size")
-        ways = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("to")))
-        others = ways.join(size.withColumnRenamed("rep", "to"), "to").groupBy("rep").agg(F.sum("size").alias("others"))
-        of = size.join(others, "rep", "left").join(found, "rep", "left").withColumn("links", F.col("size") - 1 + F.coalesce("others", F.lit(0)))
+        found = self.components()
+        others = self._blocks(found).mapInArrow(_linked_blocks(False), "id long, others long").groupBy(F.col("id").alias("rep")).agg(F.sum("others").alias("others"))
+        size = self.sizes().withColumnRenamed("id", "rep")
+        of = size.join(others, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("links", F.col("size") - 1 + F.coalesce("others", F.lit(0)))
+        of = table(of, "classes")
+        drop(self.sets)
         n_links = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("links")).otherwise(0)
         return self.member.join(of, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), n_links.cast("long").alias("n_links"))
 
     def grouped(self) -> DataFrame:
         """``(doc_id, component_id)``, by the links that components need."""
         found = self.components().withColumnRenamed("node", "rep")
+        drop(self.sets)
         return self.member.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
 
 

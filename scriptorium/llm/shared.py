@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder. Where the session names none (tests on one machine), a temporary one is set."""
+    """The shared folder. Where the session names none, a temporary one is set if all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -36,9 +39,44 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of what ``table`` returned."""
+#: Bytes of a table that may be told to every task.
+TOLD = 32_000_000
+
+
+def told(df: DataFrame, width: int) -> DataFrame:
+    """A written table of rows of about ``width`` bytes, marked to be broadcast if by its count it's no larger than ``TOLD``."""
+    return F.broadcast(df) if df.count() * width <= TOLD else df
+
+
+def bucketed(df: DataFrame, by: str, name: str = "t") -> DataFrame:
+    """As ``table``, with the rows of one ``by`` in one bucket, so that joins and groups by it don't move them again."""
+    spark = df.sparkSession
+    named = f"{name}_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("path", f"{folder(spark)}/{named}").option("compression", "zstd").bucketBy(shards(spark), by).format("parquet").saveAsTable(named)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.table(named)
+    out.named = named
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of what ``table`` or ``bucketed`` returned."""
+    for df in frames:
+        _drop(df)
+
+
+def _drop(df: DataFrame) -> None:
     spark = df.sparkSession
+    if "named" in df.__dict__:
+        path = f"{folder(spark)}/{df.named}"
+        spark.sql(f"DROP TABLE IF EXISTS {df.named}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
