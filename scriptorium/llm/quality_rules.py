@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import table
 from .words import SPACE, Chunk, Words, chunks, one_hash, windows, words
 
 #: Frequent function words of the languages.
@@ -132,24 +133,24 @@ def duplicate_lines(text: bytes) -> int:
     return n
 
 
-def judged(batch: pa.RecordBatch, table: dict) -> list[np.ndarray]:
-    """Per row of a batch with text and lang: the five counts, both distances, and the verdicts base_failed and kept."""
-    none = (np.zeros(CLASSES), np.zeros(WIDTH))
+def judged(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Per row of a batch with text, lang and its reference: the five counts, both distances, base_failed and kept."""
     langs, out = batch.column("lang").to_pylist(), [[] for _ in range(7)]
+    reference = [np.array(batch.column(x).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, n) for x, n in ((REF_CLASSES, CLASSES), (REF_COMMON, WIDTH))]
     for c in chunks(batch.column("text")):
         w, own = words(c), langs[c.first : c.first + c.rows]
         kinds, common = _histograms(c, w, own)
         exact = words(c, lower=False).hashes
         points = np.concatenate([[0], np.cumsum(_CONT[c.data] == 0)])
-        refs = [table.get(x, none) for x in own]
+        refs = [x[c.first : c.first + c.rows] for x in reference]
         for to, found in zip(out, (
             np.diff(w.bounds),
             _segment_sums(points[w.ends] - points[w.starts], w.bounds),
             _segment_sums((_CLASS[c.data] == 5).astype(np.int64), c.offsets),
             [duplicate_lines(c.text(k)) for k in range(c.rows)],
             [repeated_words(exact[w.bounds[k] : w.bounds[k + 1]]) for k in range(c.rows)],
-            js_distance(kinds, np.array([r[0] for r in refs])),
-            js_distance(common, np.array([r[1] for r in refs])),
+            js_distance(kinds, refs[0]),
+            js_distance(common, refs[1]),
         ), strict=True):
             to.append(np.asarray(found))
     n, chars, symbols, lines, repeats, by_class, by_word = (np.concatenate(x) if x else np.zeros(0) for x in out)
@@ -158,12 +159,13 @@ def judged(batch: pa.RecordBatch, table: dict) -> list[np.ndarray]:
     return [n, chars, symbols, lines, repeats, by_class, by_word, failed, ~failed & ~((n >= MIN_WORDS) & odd)]
 
 
-def _table(docs: DataFrame) -> dict:
-    return {r.lang: (np.array(r.classes), np.array(r.common)) for r in references(docs).orderBy("lang").limit(MAX_LANGS).collect()}
+REF_CLASSES, REF_COMMON = "reference of classes", "reference of common words"
 
 
-#: References of at most so many languages reach the tasks; rows of further ones meet the base rules only.
-MAX_LANGS = 10_000
+def with_references(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with the reference of their language in ``docs``; Spark tells the tasks all references only where they are few."""
+    refs = table(references(docs), "references").select(F.col("lang").alias("lang of reference"), F.col("classes").alias(REF_CLASSES), F.col("common").alias(REF_COMMON))
+    return rows.join(refs, F.col("lang").eqNullSafe(F.col("lang of reference"))).drop("lang of reference")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -172,25 +174,26 @@ def verdicts(docs: DataFrame) -> DataFrame:
     Null text counts as empty: no words, so it fails the base rule. A null language has its own reference. Repeated
     rows are judged one by one, alike. An empty table gives no rows. Columns beyond the three are not read.
     """
-    table, names = _table(docs), [x.split()[0] for x in OUT_SCHEMA.split(", ")]
+    names = [x.split()[0] for x in OUT_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *counts, by_class, by_word, failed, kept = judged(batch, table)
+            *counts, by_class, by_word, failed, kept = judged(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in counts), pa.array(by_class, pa.float64()), pa.array(by_word, pa.float64()), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, OUT_SCHEMA)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    return with_references(own, own).mapInArrow(run, OUT_SCHEMA)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``verdicts`` keeps; texts aren't shuffled."""
-    table = _table(docs)
+    """The rows of ``docs``, all columns, that ``verdicts`` keeps. Columns of any other name may be there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(judged(batch, table)[-1], pa.bool_()))
+            yield batch.filter(pa.array(judged(batch)[-1], pa.bool_())).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return with_references(docs, docs).mapInArrow(run, docs.schema)
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
