@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,57 +43,61 @@ def targets(sizes: list[int], weights: list[int], cap: int = MAX_REPEATS) -> lis
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int = RESERVE) -> np.ndarray:
-    """How many documents of each length to take so that their words sum to ``budget`` or as near below as can be.
+    """How many documents of each length to take so that their words sum to ``budget`` or as near as can be, either side.
 
-    First the same share of every length, less a reserve; then a bounded-knapsack program over the documents left
-    decides the rest exactly. If the budget isn't met, the reserve is doubled, up to ``WIDEST``; a reserve of the whole
-    budget is exact. ``budget`` must be less than all words; lengths are positive and distinct.
+    First the same share of every length, less a reserve; then a bounded-knapsack program over the documents left decides
+    the rest. All is counted in the lengths' greatest common divisor. If the nearest sum isn't met, the program is given a
+    wider reserve, doubled up to ``WIDEST`` units; a reserve of the whole budget is exact. Of two sums as near the smaller
+    one is taken. Lengths are positive and distinct.
     """
-    best = _fill(lengths, counts, budget, reserve)
-    if not len(lengths):
-        return best
-    near = min(budget, int((lengths * counts).sum()))
-    near -= near % int(np.gcd.reduce(lengths))
-    while int((lengths * best).sum()) < near and reserve < min(budget, WIDEST):
+    if not len(lengths) or budget <= 0:
+        return np.zeros(len(lengths), np.int64)
+    unit = int(np.gcd.reduce(lengths))
+    lengths = lengths // unit
+    total = int((lengths * counts).sum())
+    if budget >= total * unit:
+        return counts.copy()
+    off = lambda take: abs(int((lengths * take).sum()) * unit - budget)
+    least = min(budget % unit, unit - budget % unit)
+    best = _fill(lengths, counts, budget / unit, reserve)
+    while off(best) > least and reserve < min(budget // unit, WIDEST):
         reserve = min(2 * reserve, WIDEST)
-        best = max(best, _fill(lengths, counts, budget, reserve), key=lambda take: int((lengths * take).sum()))
+        best = min(best, _fill(lengths, counts, budget / unit, reserve), key=off)
     return best
 
 
-def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int) -> np.ndarray:
-    take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return take
-    if budget >= total:
-        return counts.copy()
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: float, reserve: int) -> np.ndarray:
+    take, total = np.zeros(len(lengths), np.int64), int((lengths * counts).sum())
     if budget > reserve:
         take = np.floor(counts * ((budget - reserve // 2) / total)).astype(np.int64)
         for k in np.argsort(-lengths, kind="stable"):  # long lengths first, while more than the reserve is open
-            gap = budget - reserve - int((lengths * take).sum())
+            gap = int(budget) - reserve - int((lengths * take).sum())
             if gap <= 0:
                 break
             take[k] += min(counts[k] - take[k], gap // lengths[k])
     rest = budget - int((lengths * take).sum())
     if rest > reserve:  # only where documents longer than the reserve are left
         for k in np.argsort(-lengths, kind="stable"):
-            n = min(int(counts[k] - take[k]), max(0, (rest - reserve // 2) // int(lengths[k])))
+            n = min(int(counts[k] - take[k]), max(0, int(rest - reserve // 2) // int(lengths[k])))
             take[k] += n
             rest -= n * int(lengths[k])
             if rest <= reserve:
                 break
-    # documents left are longer than rest - reserve // 2 here, so the table is no longer than the reserve and the longest
-    reach = np.zeros(rest + 1, bool)
+    # documents left are longer than rest - reserve // 2 here, so the table is no longer than twice the reserve and the longest
+    left = lengths[counts > take]
+    top = int(rest) + (min(int(left.max()), int(rest) + int(left.min())) if len(left) else 0)  # a sum beyond the rest is as near at most
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
-    step, size = np.full(rest + 1, -1, np.int32), np.zeros(rest + 1, np.int32)
+    step, size = np.full(top + 1, -1, np.int32), np.zeros(top + 1, np.int32)
+    aim = int(np.rint(rest))
     for k in np.argsort(-lengths, kind="stable"):
-        if reach[rest]:
+        if reach[aim]:
             break
         spare, part = int(counts[k] - take[k]), 1
         while spare > 0:  # binary parts of the bound
             n = min(part, spare)
             jump = n * int(lengths[k])
-            if jump > rest:
+            if jump > top:
                 break
             new = np.zeros_like(reach)
             new[jump:] = reach[:-jump]
@@ -101,7 +105,8 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int) ->
             step[new], size[new] = k, n
             reach |= new
             spare, part = spare - n, part * 2
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - rest))])
     while at > 0:
         k, n = step[at], size[at]
         take[k] += n
@@ -125,10 +130,15 @@ def plan_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     A null source is a source of its own, the last; a null text has size 0 and is taken 0 times. Repeated rows count
     as documents of their own; the seeded rank tells rows of one length apart by id and, for repeated ids, arbitrarily
-    but with the same total. An empty table gives no rows. Sources' totals reach the driver, documents don't.
+    but with the same total. An empty table gives no rows. One row per source reaches the driver, documents don't.
     """
+    return _planned(docs, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _planned(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """``plan_mix``, with further columns of the same rows."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    d = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     d = table(d.withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "sizes")
     # 256 parts of each length group, by the seeded hash: a group of any size is ranked part by part
     parts = d.groupBy("source", "size", F.shiftrightunsigned("h", 56).alias("part")).agg(F.count("*").alias("n"))
@@ -138,21 +148,24 @@ def plan_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     goals = targets([r.source_size for r in by_source], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(by_source))])
     sources = spark.createDataFrame([(r.source, r.source_size, t) for r, t in zip(by_source, goals, strict=True)], "source string, source_size long, target double")
     lengths = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    histogram = lengths.alias("l").join(F.broadcast(sources).alias("s"), F.expr("l.source <=> s.source")).select("l.source", "size", "n", "target")
+    histogram = lengths.alias("l").join(sources.alias("s"), F.expr("l.source <=> s.source")).select("l.source", "size", "n", "target")
     plan = histogram.groupBy("source").applyInPandas(_plan, "source string, size long, passes long, extra long")
     before = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("before", before)
     quota = parts.alias("p").join(plan.alias("q"), F.expr("p.source <=> q.source and p.size = q.size")).select("p.source", "p.size", "p.part", "q.passes", F.greatest(F.lit(0), F.least(F.col("p.n"), F.col("q.extra") - F.col("p.before"))).alias("quota"))
     rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
     ranked = d.withColumn("part", F.shiftrightunsigned("h", 56)).withColumn("rank", rank)
-    out = ranked.alias("d").join(quota.alias("q"), F.expr("d.source <=> q.source and d.size = q.size and d.part = q.part"), "left").select("d.doc_id", "d.source", "d.size", (F.col("d.size") * F.coalesce(F.col("q.passes") + (F.col("d.rank") <= F.col("q.quota")).cast("long"), F.lit(0))).alias("taken"))
-    return out.alias("o").join(F.broadcast(sources).alias("s"), F.expr("o.source <=> s.source")).select("o.doc_id", "o.size", "s.source_size", "s.target", "o.taken")
+    out = ranked.alias("d").join(quota.alias("q"), F.expr("d.source <=> q.source and d.size = q.size and d.part = q.part"), "left").select(*(f"d.{c}" for c in d.columns if c != "h"), (F.col("d.size") * F.coalesce(F.col("q.passes") + (F.col("d.rank") <= F.col("q.quota")).cast("long"), F.lit(0))).alias("taken"))
+    return out.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.*", "s.source_size", "s.target")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, all columns, and ``repeats``: how often each is taken."""
-    plan = plan_mix(docs, seed).where("taken > 0").select("doc_id", F.expr("taken div size").alias("repeats")).groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
-    return docs.join(plan, "doc_id")
+def mixed_documents(docs: DataFrame, seed: int = 17, repeats: str = "repeats") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, all columns, and how often each is taken, in a column named ``repeats``,
+    which ``docs`` must not have. Rows of one id are taken each for itself. An empty table gives no rows."""
+    if repeats in docs.columns:
+        raise ValueError(f"the documents have a column {repeats}; name another one for the repeats")
+    rows = _planned(docs, seed, F.struct(*docs.columns).alias("row")).where("taken > 0")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.expr("taken div size").alias(repeats))
 
 
 def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
