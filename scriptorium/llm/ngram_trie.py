@@ -1,13 +1,15 @@
-"""A word bigram model in an Elias-Fano trie, and the log10 probability of every text under it.
+"""A word trigram model in an Elias-Fano trie, and the log10 probability of every text under it.
 
-Level 1 has the training words, sorted by hash, with their counts. Monotone pointers (Elias-Fano) lead from a word to
-its successors on level 2; the successors of all words form one monotone sequence ``word * V + successor``, Elias-Fano
-coded too, so that a successor is sought relative to its context within one bucket of high bits. Level 2 has the
-smoothed probabilities, quantised to 8 bits by a codebook per shard. Smoothing is Witten-Bell's:
-``P(w|v) = (c(vw) + T(v) P(w)) / (c(v) + T(v))`` with T(v) successors of v, over the add-one unigrams P(w).
+Level 1 has the training words, sorted by hash, with their counts. Monotone pointers (Elias-Fano) lead from a node of a
+level to its successors on the next; the successors of all nodes form one monotone sequence ``node * V + successor``,
+Elias-Fano coded too, so that a successor is sought relative to its context within one bucket of high bits. A node of
+level 2 is a pair of words, one of level 3 a triple. Probabilities are quantised to 8 bits by a codebook per shard.
+Smoothing is Witten-Bell's: with T(h) different successors of a context h, ``P(w|h) = (c(hw) + T(h) P(w|h')) / (c(h) + T(h))``,
+h' being h without its first word, over the add-one unigrams P(w). Level 2 holds P(w|v), level 3 the part
+``c(hw) / (c(h) + T(h))``, to which the context's back-off times P(w|v) is added.
 
 The trie is built in shards by ranges of word hashes: each a few mapped files in the shared folder. Counting covers all
-training texts; tasks send blocks' distinct words and pairs, packed.
+training texts; tasks send blocks' distinct words, pairs and triples, the latter two Elias-Fano coded.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ END = np.uint64(one_hash(b"\x00end of text\x00".replace(b" ", b"\xff")))  # \xff
 BLOCK = 1_500_000
 #: High bits to an entry of the directory.
 SPAN = 512
+#: Bytes of training text to a shard, about; small tables have as many shards as the session's shuffles have partitions.
+SHARD_BYTES = 1 << 26
 
 
 class EliasFano:
@@ -95,7 +99,21 @@ class EliasFano:
         return ((self.select(i, True) - i) << self.bits) | self.lows(i).astype(np.int64)
 
     def values(self) -> np.ndarray:
-        return self.get(np.arange(self.n))
+        i = np.arange(self.n)
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        return ((ones - i) << self.bits) | self.lows(i).astype(np.int64)
+
+    @staticmethod
+    def packed(values: np.ndarray, universe: int) -> bytes:
+        """A sequence as bytes, for the way between tasks."""
+        a = EliasFano.build(values, universe)
+        return np.concatenate([a["head"], [len(a["high"])], a["high"].view(np.int64), a["low"].view(np.int64)]).tobytes()
+
+    @staticmethod
+    def unpacked(raw) -> np.ndarray:
+        a = np.frombuffer(raw, np.int64)
+        end = 3 + int(a[2])
+        return EliasFano(a[:2], a[3:end].view(np.uint64), a[end:].view(np.uint64)).values()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where each key below the universe stands, or -1: its bucket of high bits is searched for its low bits."""
@@ -191,17 +209,27 @@ def _word_counts(parts: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, sorted distinct keys, counts) of packed rows; keys have ``width`` bytes."""
+def _packed_keys(keys: np.ndarray, part: np.ndarray, universes: np.ndarray) -> pa.RecordBatch:
+    """Rows with the distinct keys of each shard, Elias-Fano coded, and their counts, in a byte each where they fit."""
+    order = np.argsort(part, kind="stable")
+    limits = np.searchsorted(part[order], np.arange(len(universes) + 1))
+    some = [p for p in range(len(universes)) if limits[p] < limits[p + 1]]
+    out = {"keys": [], "counts": []}
+    for p in some:
+        k, n = np.unique(keys[order[limits[p] : limits[p + 1]]], return_counts=True)
+        out["keys"].append(EliasFano.packed(k, int(universes[p])))
+        out["counts"].append(n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes())
+    return _rows(some, **out)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], coded: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sorted distinct keys, counts) of packed rows; keys are hashes or, if ``coded``, Elias-Fano sequences."""
     held: dict[int, list] = {}
     for batch in batches:
         for p, k, n in zip(batch.column("part").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
-            raw = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, width)
-            if width < 8:
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :width] = raw
-                raw = wide
-            held.setdefault(p, []).append((raw.reshape(-1).view(np.uint64), np.frombuffer(n.as_buffer(), np.uint32)))
+            keys = EliasFano.unpacked(k.as_buffer()) if coded else np.frombuffer(k.as_buffer(), np.uint64)
+            raw = n.as_buffer()
+            held.setdefault(p, []).append((keys, np.frombuffer(raw, np.uint8 if raw.size == len(keys) else np.uint32)))
     for p, own in held.items():
         keys, counts = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(np.int64)
         own.clear()
@@ -212,25 +240,40 @@ def _merged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
 
 
 class Trie:
-    """The model's place, shards and totals; small enough to be sent to every task."""
+    """The model's place, words by shard, total, and the nodes by shard of levels 2 and 3; small enough for every task."""
 
     def __init__(self, place: str, sizes: list[int], tokens: int):
         self.place, self.sizes, self.tokens = place, sizes, tokens
+        self.level2: dict[int, int] = {}
+        self.level3: dict[int, int] = {}
+
+
+def _coded(log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of 8 bits and their codebook: quantiles of the values."""
+    book = np.unique(np.quantile(log, np.linspace(0, 1, 256)))
+    return np.minimum(np.searchsorted((book[1:] + book[:-1]) / 2, log), len(book) - 1).astype(np.uint8), book
 
-    @property
-    def width(self) -> int:
-        """Bytes of a level-2 key: a shard's words times all words."""
-        return max(1, (max([1, *self.sizes]) * max(1, sum(self.sizes))).bit_length() + 7 >> 3)
+
+def _level(keys: np.ndarray, counts: np.ndarray, nodes: int, size: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of a shard's keys ``node * size + successor``: each key's T and c of its context, and the level's arrays but the codes."""
+    node = keys // size
+    pointers = np.searchsorted(node, np.arange(nodes + 1))
+    types = np.diff(pointers)
+    followed = np.add.reduceat(np.append(counts, 0), np.minimum(pointers[:-1], len(counts))) * (types > 0)
+    arrays = {f"s{k}": v for k, v in EliasFano.build(keys, nodes * size).items()} | {f"p{k}": v for k, v in EliasFano.build(pointers, len(keys) + 1).items()}
+    return types[node], followed[node], arrays | {"followed": followed.astype(np.uint32) if followed.max() < 2**32 else followed}
 
 
 def fit(texts: DataFrame) -> Trie:
     """Counts all of ``texts(text)`` and writes the trie."""
     spark = texts.sparkSession
-    parts, place = shards(spark), f"{folder(spark)}/trie-{uuid.uuid4().hex}"
     texts = texts.select("text")
+    # a shard is merged in one task's memory, so their number follows the data
+    parts = max(shards(spark), -(-texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // SHARD_BYTES))
+    place = f"{folder(spark)}/trie-{uuid.uuid4().hex}"
 
     def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, counts in _merged(batches, 8):
+        for p, keys, counts in _merged(batches, False):
             put_arrays(f"{place}/{p}", words=keys, counts=counts.astype(np.uint32) if counts.max() < 2**32 else counts)
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
@@ -244,68 +287,151 @@ def fit(texts: DataFrame) -> Trie:
         return trie
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, width = Vocabulary(place, sizes), trie.width
+        vocabulary = Vocabulary(place, sizes)
         base, size = vocabulary.base, vocabulary.size
         for tokens_, bounds, _ in _tokens(batches):
             own, inverse = np.unique(tokens_, return_inverse=True)
             ids = vocabulary.ids(own)[inverse]
-            follows = np.ones(len(ids), bool)
-            follows[bounds[:-1]] = False
-            at = np.flatnonzero(follows)
+            at = np.flatnonzero(_follows(bounds))
             first = ids[at - 1]
             part = np.searchsorted(base, first, "right") - 1
-            key = (first - base[part]) * size + ids[at]
-            order = np.argsort(part, kind="stable")
-            limits = np.searchsorted(part[order], np.arange(parts + 1))
-            out = {"keys": [], "counts": []}
-            some = [p for p in range(parts) if limits[p] < limits[p + 1]]
-            for p in some:
-                k, n = np.unique(key[order[limits[p] : limits[p + 1]]], return_counts=True)
-                out["keys"].append(k.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
-                out["counts"].append(n.astype(np.uint32).tobytes())
-            yield _rows(some, **out)
+            yield _packed_keys((first - base[part]) * size + ids[at], part, np.array(sizes, np.int64) * size)
 
     def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(place, sizes)
         size = vocabulary.size
-        for p, keys, counts in _merged(batches, trie.width):
-            keys = keys.astype(np.int64)
-            word, successor = keys // size, keys % size
-            pointers = np.searchsorted(word, np.arange(sizes[p] + 1))
-            types = np.diff(pointers)
-            followed = np.add.reduceat(np.append(counts, 0), np.minimum(pointers[:-1], len(counts))) * (types > 0)
-            distinct, inverse = np.unique(successor, return_inverse=True)
+        for p, keys, counts in _merged(batches, True):
+            types, followed, arrays = _level(keys, counts, sizes[p], size)
+            distinct, inverse = np.unique(keys % size, return_inverse=True)
             unigram = (vocabulary.count(distinct)[inverse] + 1) / (tokens + size + 1)
-            log = np.log10((counts + types[word] * unigram) / (followed[word] + types[word]))
-            book = np.unique(np.quantile(log, np.linspace(0, 1, 256)))
-            code = np.minimum(np.searchsorted((book[1:] + book[:-1]) / 2, log), len(book) - 1).astype(np.uint8)
-            arrays = {f"s{k}": v for k, v in EliasFano.build(keys, sizes[p] * size).items()} | {f"p{k}": v for k, v in EliasFano.build(pointers, len(keys) + 1).items()}
-            put_arrays(f"{place}/{p}", **arrays, codes=code, book=book, followed=followed.astype(np.uint32) if followed.max() < 2**32 else followed)
+            code, book = _coded(np.log10((counts + types * unigram) / (followed + types)))
+            put_arrays(f"{place}/2-{p}", **arrays, codes=code, book=book)
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
     packed = texts.mapInArrow(pairs, "part int, keys binary, counts binary").repartition(parts, "part")
-    trie.level2 = {r.part for r in packed.mapInArrow(level2, "part int, n long").collect()}
+    trie.level2 = {r.part: r.n for r in packed.mapInArrow(level2, "part int, n long").collect()}
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(trie)
+        nodes = np.array([trie.level2.get(p, 0) for p in range(parts)], np.int64)
+        for tokens_, bounds, _ in _tokens(batches):
+            b = reader.block(tokens_, bounds)
+            at = b.thirds()
+            yield _packed_keys(b.node[at - 1] * reader.size + b.ids[at], b.part[at - 1], nodes * reader.size)
+
+    def level3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = sum(sizes)
+        for p, keys, counts in _merged(batches, True):
+            types, followed, arrays = _level(keys, counts, trie.level2[p], size)
+            code, book = _coded(np.log10(counts / (followed + types)))
+            put_arrays(f"{place}/3-{p}", **arrays, codes=code, book=book)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+
+    packed = texts.mapInArrow(triples, "part int, keys binary, counts binary").repartition(parts, "part")
+    trie.level3 = {r.part: r.n for r in packed.mapInArrow(level3, "part int, n long").collect()}
     return trie
 
 
+def _follows(bounds: np.ndarray) -> np.ndarray:
+    """Which tokens have one before them in their text."""
+    out = np.ones(int(bounds[-1]), bool)
+    out[bounds[:-1]] = False
+    return out
+
+
 class Shard:
-    """Level 2 of one shard, opened."""
+    """A level of one shard, opened."""
 
-    def __init__(self, place: str, p: int):
-        get = lambda x: get_array(f"{place}/{p}", x)
+    def __init__(self, place: str):
+        get = lambda x: get_array(place, x)
         self.level, self.pointers = (EliasFano(*(get(f"{x}{y}") for y in ("head", "high", "low", "rank"))) for x in "sp")
         self.followed, self.codes, self.book = get("followed"), get("codes"), get("book")
 
-    def back_off(self, words_: np.ndarray) -> np.ndarray:
-        """log10 of what each context word leaves to successors that never followed it; 0 where none followed."""
-        n = self.followed[words_].astype(np.float64)
-        types = self.pointers.get(words_ + 1) - self.pointers.get(words_)
-        return np.log10(np.where(n > 0, types / np.maximum(1, n + types), 1.0))
+    def back_off(self, nodes: np.ndarray) -> np.ndarray:
+        """What each context leaves to successors that never followed it; 1 where none followed."""
+        n = self.followed[nodes].astype(np.float64)
+        types = self.pointers.get(nodes + 1) - self.pointers.get(nodes)
+        return np.where(n > 0, types / np.maximum(1, n + types), 1.0)
 
     def log10(self, spot: np.ndarray) -> np.ndarray:
         return self.book[self.codes[spot]]
 
 
+class Block:
+    """A block of tokens: their word ids (-1: unknown), and for each with a known word before it that pair's node, if the
+    trie has it, in shard ``part``; -1 if not."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+        self.ids, self.follows = ids, _follows(bounds)
+        self.node, self.part = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
+
+    def thirds(self) -> np.ndarray:
+        """Tokens behind a pair that the trie has."""
+        at = np.flatnonzero(self.follows)
+        return at[self.node[at - 1] >= 0]  # a text's first token has no node
+
+
+class Reader:
+    """Looks words, pairs and triples up in a trie."""
+
+    def __init__(self, trie: Trie):
+        self.trie, self.vocabulary, self.kept = trie, Vocabulary(trie.place, trie.sizes), {}
+        self.size = self.vocabulary.size
+
+    def shard(self, level: int, p: int) -> Shard:
+        if (level, p) in self.kept:
+            return self.kept[level, p]
+        shard = Shard(f"{self.trie.place}/{level}-{p}")
+        if self.trie.place.startswith("file:"):  # mapped: an open shard holds no memory
+            self.kept[level, p] = shard
+        return shard
+
+    def _by_part(self, part: np.ndarray, level: dict) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(part, kind="stable")
+        limits = np.searchsorted(part[order], np.arange(len(self.trie.sizes) + 1))
+        for p in sorted(level):
+            if limits[p] < limits[p + 1]:
+                yield p, order[limits[p] : limits[p + 1]]
+
+    def _found(self, shard: Shard, node: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where each (context node, successor) stands on the shard's level, or -1."""
+        out = np.full(len(ids), -1, np.int64)
+        known = np.flatnonzero(ids >= 0)
+        keys, again = np.unique(node[known] * self.size + ids[known], return_inverse=True)
+        out[known] = shard.level.find(keys)[again]
+        return out
+
+    def block(self, tokens: np.ndarray, bounds: np.ndarray, p1: np.ndarray | None = None) -> Block:
+        """The block's ids and nodes; with log10 P(w) of the distinct tokens, in order, also ``log``: log10 P(w|v)."""
+        own, inverse = np.unique(tokens, return_inverse=True)
+        b = Block(self.vocabulary.ids(own)[inverse], bounds)
+        b.log = None if p1 is None else p1[inverse]
+        at = np.flatnonzero(b.follows)
+        at = at[b.ids[at - 1] >= 0]
+        word = b.ids[at - 1]
+        part = np.searchsorted(self.vocabulary.base, word, "right") - 1
+        for p, mine in self._by_part(part, self.trie.level2):
+            shard, t = self.shard(2, p), at[mine]
+            local = word[mine] - self.vocabulary.base[p]
+            spot = self._found(shard, local, b.ids[t])
+            b.part[t], b.node[t] = p, spot
+            if p1 is not None:
+                some, again = np.unique(local, return_inverse=True)
+                b.log[t] = np.where(spot >= 0, shard.log10(np.maximum(spot, 0)), b.log[t] + np.log10(shard.back_off(some))[again])
+        return b
+
+    def third(self, b: Block) -> None:
+        """Turns the block's ``log`` into log10 P(w|u,v) where the trie has the context."""
+        at = b.thirds()
+        for p, mine in self._by_part(b.part[at - 1], self.trie.level3):
+            shard, t = self.shard(3, p), at[mine]
+            node = b.node[t - 1]
+            spot = self._found(shard, node, b.ids[t])
+            some, again = np.unique(node, return_inverse=True)
+            rest = 10.0 ** b.log[t] * shard.back_off(some)[again]
+            b.log[t] = np.log10(rest + np.where(spot >= 0, 10.0 ** shard.log10(np.maximum(spot, 0)), 0.0))
+
+
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -313,45 +439,19 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """Scores every row of ``docs(doc_id, text, held_out)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(trie.place, trie.sizes)
-        size, shards_ = vocabulary.size, {}
+        reader = Reader(trie)
+        vocabulary = reader.vocabulary
         for tokens, bounds, rows in _tokens(batches, ("doc_id", "held_out")):
             own, inverse = np.unique(tokens, return_inverse=True)
             ids_of = vocabulary.ids(own)
             known = ids_of >= 0  # the known ids rise, as their hashes do
             counts = np.zeros(len(own), np.int64)
             counts[known] = vocabulary.count(ids_of[known])
-            base = np.log10((counts + 1) / (trie.tokens + size + 1))[inverse]
-            ids = ids_of[inverse]
-            log = base.copy()
-            follows = np.ones(len(ids), bool)
-            follows[bounds[:-1]] = False
-            at = np.flatnonzero(follows)
-            at = at[ids[at - 1] >= 0]
-            part = np.searchsorted(vocabulary.base, ids[at - 1], "right") - 1
-            order = np.argsort(part, kind="stable")
-            limits = np.searchsorted(part[order], np.arange(len(trie.sizes) + 1))
-            contexts = ids_of[known]
-            own_limits, back = np.searchsorted(contexts, vocabulary.base), np.zeros(len(contexts))
-            of_context = np.cumsum(known) - 1
-            for p in getattr(trie, "level2", ()):
-                mine = at[order[limits[p] : limits[p + 1]]]
-                if not len(mine):
-                    continue
-                shard = shards_.get(p) or Shard(trie.place, p)
-                if trie.place.startswith("file:"):  # mapped: an open shard holds no memory
-                    shards_[p] = shard
-                here = slice(own_limits[p], own_limits[p + 1])
-                back[here] = shard.back_off(contexts[here] - vocabulary.base[p])
-                u = ids[mine]
-                log[mine] += back[of_context[inverse[mine - 1]]]
-                mine = mine[u >= 0]
-                keys, again = np.unique((ids[mine - 1] - vocabulary.base[p]) * size + ids[mine], return_inverse=True)
-                spot = shard.level.find(keys)
-                found = np.flatnonzero(spot[again] >= 0)
-                log[mine[found]] = shard.log10(spot[again[found]])
+            base = np.log10((counts + 1) / (trie.tokens + vocabulary.size + 1))
+            b = reader.block(tokens, bounds, base)
+            reader.third(b)
             sums = lambda x: np.add.reduceat(x, bounds[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(np.diff(bounds)), pa.array(sums((counts > 0)[inverse].astype(np.int64))), pa.array(np.full(len(rows), trie.tokens, np.int64)), pa.array(sums(base)), pa.array(sums(log))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(np.diff(bounds)), pa.array(sums((counts > 0)[inverse].astype(np.int64))), pa.array(np.full(len(rows), trie.tokens, np.int64)), pa.array(sums(base[inverse])), pa.array(sums(b.log))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, SCHEMA)
 
