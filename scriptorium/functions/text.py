@@ -104,9 +104,14 @@ def ngrams(array: str, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.concat_ws(" ", F.slice(array, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def ratio(a: Column, b: Column, places: int = 6) -> Column:
-    """a / b rounded; 0 where b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(F.round(a.cast("double") / b, places))
+def ratio(a: Column, b: Column) -> Column:
+    """a / b; 0 where b is 0."""
+    return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
+
+
+def expanded(df: DataFrame, row: str, *more: Column | str) -> DataFrame:
+    """The columns of a struct column, and more."""
+    return df.select(*(F.col(row).getField(f).alias(f) for f in df.schema[row].dataType.fieldNames()), *more)
 
 
 def paragraphs(c: str | Column = "text") -> Column:

@@ -113,8 +113,9 @@ def has_preamble(c: str = "text") -> Column:
 
 def quality_checks(rows: DataFrame, c: str, instruction: str, least: int = 30, most: int = 2000) -> DataFrame:
     """``rows`` with six flags and ``notes``, the names of those that are set, in order. An empty text has only the first."""
-    kept = rows.columns
-    d = T.once(rows, tokens=T.tokens(F.lower(F.coalesce(F.col(c), F.lit("")))))
+    d = rows.select(F.struct(*rows.columns).alias("row"), F.col(c).alias("body"))
+    c = "body"
+    d = T.once(d, tokens=T.tokens(F.lower(F.coalesce(F.col(c), F.lit("")))))
     d = T.once(d, grams=F.array_sort(T.gram_hashes("tokens", 3)))
     n = F.size("tokens")
     flags = [
@@ -127,7 +128,7 @@ def quality_checks(rows: DataFrame, c: str, instruction: str, least: int = 30, m
     ]
     d = T.once(d, flags=F.array(*(f if k == 0 else f & ~is_empty(c) for k, f in enumerate(flags))))
     named = F.filter(F.zip_with(F.array(*map(F.lit, NOTES)), "flags", lambda name, f: F.when(f, name)), lambda x: x.isNotNull())
-    return d.select(*kept, *(F.col("flags")[k].alias(name) for k, name in enumerate(NOTES)), named.alias("notes"))
+    return T.expanded(d, "row", *(F.col("flags")[k].alias(name) for k, name in enumerate(NOTES)), named.alias("notes"))
 
 
 # Sentences of two versions

@@ -1,6 +1,7 @@
 """Sentence, essay and language-model features, and the vectors made of them.
 
 All of a text's features are computed in its row: nothing is shuffled, and rows that repeat an id stay rows of their own.
+Functions that add single features to a table use columns of their own beside its; ``essay_features`` keeps any names apart.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def sentence_lengths(df: DataFrame, sentences: str = "sentences") -> DataFrame:
 
 
 def type_token_ratio(words: str) -> Column:
-    return T.ratio(F.size(F.array_distinct(words)), F.size(words), 15)
+    return T.ratio(F.size(F.array_distinct(words)), F.size(words))
 
 
 def repeated_grams(df: DataFrame, array: str, n: int, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def repeated_grams(df: DataFrame, array: str, n: int, name: str) -> DataFrame:
     over all n-grams; 0 for a text without one. N-grams are compared by 64-bit hashes."""
     d = T.once(df, grams=F.array_sort(T.gram_hashes(array, n)))
     d = T.once(d, **{f"{name}_total": F.size("grams").cast("long"), f"{name}_repeated": T.n_repeated("grams").cast("long")}).drop("grams")
-    return d.withColumn(name, T.ratio(F.col(f"{name}_repeated"), F.col(f"{name}_total"), 15))
+    return d.withColumn(name, T.ratio(F.col(f"{name}_repeated"), F.col(f"{name}_total")))
 
 
 def moving_average_ttr(df: DataFrame, words: str, name: str = "moving_average_ttr") -> DataFrame:
@@ -82,20 +83,20 @@ def rare_word_ratio(docs: DataFrame, lexicon: DataFrame, key: str, words: str =
     counts = docs.select(key, F.explode_outer(words).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
     zipf = lexicon.groupBy("word").agg(F.max("zipf").alias("zipf"))
     rare = F.sum(F.when(F.coalesce("zipf", F.lit(0.0)) < RARE_BELOW, F.col("n")).otherwise(0))
-    return counts.join(zipf, "word", "left").groupBy(key).agg(T.ratio(rare, F.sum("n"), 15).alias("rare_word_ratio"))
+    return counts.join(zipf, "word", "left").groupBy(key).agg(T.ratio(rare, F.sum("n")).alias("rare_word_ratio"))
 
 
 def essay_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``ESSAY_FIELDS`` but the rare words, which need a lexicon. Null and empty texts have 0 everywhere."""
-    kept = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
-    d = T.once(docs, sentences=T.sentences(body), words=T.words(body))
+    d = docs.select(F.struct(*docs.columns).alias("row"), body.alias("body"))
+    d = T.once(d, sentences=T.sentences("body"), words=T.words("body"))
     d = sentence_lengths(d).withColumn("type_token_ratio", type_token_ratio("words"))
     d = moving_average_ttr(d, "words")
     for n, name in ((2, "repeated_bigram_ratio"), (3, "repeated_trigram_ratio")):
         d = repeated_grams(d, "words", n, name)
     d = repeated_openings(d, "sentences")
-    return d.select(*kept, *(f for f in ESSAY_FIELDS if f != "rare_word_ratio"))
+    return T.expanded(d, "row", *(f for f in ESSAY_FIELDS if f != "rare_word_ratio"))
 
 
 def sentence_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
