@@ -363,7 +363,7 @@ BUCKETS = 1 << 20
 #: Rounds of head proposals before the pairs left are enumerated.
 ROUNDS = 3
 #: Classes of a list that one join key's left side holds, about.
-SLICE = 64
+SLICE = 1024
 #: Sets and shingles of a block of a component, about.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 #: Pairs that ask for one copy of a set, about.
