@@ -20,7 +20,7 @@ What travels is packed: a task sends each partition one byte string of postings
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
@@ -360,8 +360,9 @@ def _wanted_sets(filter_bits):
 
 
 BUCKETS = 1 << 20
-#: Rounds of head proposals before the pairs left are enumerated.
-ROUNDS = 3
+#: Rounds of head proposals go on while they find links for this share of the classes in open lists; then the pairs left
+#: are enumerated.
+CLOSED = 0.005
 #: Classes of a list that one join key's left side holds, about.
 SLICE = 1024
 #: Sets and shingles of a block of a component, about.
@@ -448,18 +449,21 @@ class Join:
         side = lambda rows, s, *more: rows.select("list", *(F.col(k).alias(f"{to}{s}") for k, to in (("id", "id"), ("n", "n"), ("place", "p"), ("times", "t"), ("c", "c"))), *more)
         self.keep_sets(lists)
         known, now = None, lists.withColumn("c", F.col("id"))
-        for turn in range(ROUNDS):
+        for turn in count():
             # each round proposes every set to the head, another each time, of the list it shares most with in another component
             salt = F.xxhash64("id", F.lit(turn)) if turn else F.col("n").cast("long")
             head = now.groupBy("list").agg(F.min(F.struct(salt.alias("salt"), "id", "n", "place", "times", "c")).alias("h")).select("list", "h.*")
             both = side(now, "x").join(side(head, "y"), "list").where(near & F.expr("cx <> cy"))
             best = both.groupBy("idx", "idy").agg(F.sum("tx").alias("times")).groupBy("idx").agg(F.max(F.struct("times", "idy")).alias("best"))
             links = self.verified(best.select(F.col("idx").alias("a"), F.col("best.idy").alias("b")))
-            known = extended(known, links)
+            found = links.count()
+            known = extended(known, links) if found or known is None else known
             drop(links, *([now] if turn else []))
             now = lists.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
             open_ = now.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).where("c1 <> c2").select("list", "slices")
             now = table(now.join(open_, "list"), "open")
+            if found <= CLOSED * now.select("id").distinct().count():
+                break
         # sets of one list that still lie in different components are the pairs left, a list's left side dealt in slices
         rest = now.join(self.heads.select(F.col("doc_id").alias("id"), "bits"), "id")
         x = side(rest, "x", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.col("bits").alias("bitsx"))
