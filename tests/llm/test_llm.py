@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, jaccard_join, line_dedup, mixing, ngram_trie, quality_rules, rotation, token_counts
 from scriptorium.llm.words import chunks
@@ -65,10 +66,14 @@ def test_every_link_is_found(spark, docs, empty):
     assert jaccard_join.Join(empty).links().count() == 0
 
 
+def removed(d):
+    return {(r.doc_id, r.pos) for r in line_dedup.removed_lines(d).collect()}
+
+
 def test_lines(docs, empty):
-    assert line_dedup.decisions(docs).where("removed").count() == 1  # 3 repeats 1 closely; 2 differs in case
+    assert removed(docs) == {(3, 0)}  # 3 repeats 1 closely; 2 differs in case; equal rows are one
     assert line_dedup.deduplicate_lines(docs).count() == docs.count() - 1
-    assert line_dedup.deduplicate_lines(empty).count() == 0
+    assert line_dedup.deduplicate_lines(empty).count() == 0 and removed(empty) == set()
 
 
 def test_lines_of_crowded_buckets(spark):
@@ -82,14 +87,58 @@ def test_lines_of_crowded_buckets(spark):
     like = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert like == {(2 * k, 2 * k + 1) for k in range(150)}
     d = spark.createDataFrame([(k, x, "en", "a", 1, 0) for k, x in enumerate(lines)], SCHEMA)
-    assert {r.doc_id for r in line_dedup.decisions(d).where("removed").collect()} == {2 * k + 1 for k in range(150)}
+    assert removed(d) == {(2 * k + 1, 0) for k in range(150)}
+
+
+def test_removed_lines_against_brute_force(spark):
+    """On a real table: removals are those of exact components, but for links that the banding misses."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    places = sorted((r["doc_id"], k, x) for r in rows for k, x in enumerate((r["text"] or "").split("\n")) if x.strip())
+    lines = list(dict.fromkeys(x for _, _, x in places))
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    owners: dict[str, list[int]] = {}
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, s in enumerate(sets):
+        shared = Counter(i for g in s for i in owners.get(g, ()))
+        for i, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[i]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            owners.setdefault(g, []).append(j)
+    first, want = {}, set()
+    index = {x: k for k, x in enumerate(lines)}
+    for doc, pos, x in places:
+        if first.setdefault(find(index[x]), (doc, pos)) != (doc, pos):
+            want.add((doc, pos))
+    got = removed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert len(want) > 50 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_lines_of_odd_rows(spark):
+    """Repeated ids of other texts, null ids, ties, clashing names."""
+    line = "a line of some length that stands in several of the rows"
+    rows = [(1, line, 5, 7), (1, f"other\n{line}", 5, 7), (None, line, 1, 1), (2, None, 0, 0), (3, "", 0, 0), (3, "", 0, 0), (4, f"{line}\n{line}\nend", 0, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gone long, cut_id long")
+    out = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in line_dedup.deduplicate_lines(d).select("doc_id", "text", "gone", "cut_id").collect()))
+    assert out == [(False, 0, line), (True, 1, "other"), (True, 2, ""), (True, 3, ""), (True, 3, ""), (True, 4, "end")]
+    clash = d.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("cut_hash", "new_text", "row", "pos", "line", "h1", "text_hash", "component"))))
+    got = line_dedup.deduplicate_lines(clash)
+    assert got.columns == clash.columns and got.count() == 6 and got.select("new_text").distinct().collect()[0][0] == 1
 
 
 def test_short_lines(spark):
     texts = ["Share this page\nok\n\n \n\u00fcber", "Share this page\nok\n\n \nabc", "Share this page!\nok.\n\t\nabd", "Share this\n\u00fcber"]
     d = spark.createDataFrame([(k, x, "en", "a", 1, 0) for k, x in enumerate(texts)], SCHEMA)
-    got = {(r.doc_id, r.pos) for r in line_dedup.decisions(d).where("removed").collect()}
-    assert got == {(1, 0), (1, 1), (2, 0), (3, 1)}  # 11 of 12 shingles are shared; blank lines stay
+    assert removed(d) == {(1, 0), (1, 1), (2, 0), (3, 1)}  # 11 of 12 shingles are shared; blank lines stay
 
 
 def test_quality(docs, empty):
@@ -181,15 +230,22 @@ def test_words_match_the_pattern():
     assert counts == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
 
 
-def test_line_minima_are_those_of_the_shingles():
-    import pyarrow as pa
-
-    texts = ["abcdefg", "żółć jest", "aaaaaa"]
-    whole = next(iter(chunks(pa.array(texts))))
-    together = line_dedup._minima(whole.data, whole.offsets)
-    for k, t in enumerate(texts):
-        own = [line_dedup._minima(c.data, c.offsets)[:, 0] for g in range(len(t) - 4) for c in chunks(pa.array([t[g : g + 5]]))]
-        assert (np.min(own, axis=0) == together[:, k]).all()
+def test_line_signatures(spark):
+    """Minima by brute force: bands are equal where their minima are, and bytes show which are."""
+    texts = ["abcdefg", "abcdefgh", "żółć jest", "aaaaaa"]
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "h1 long, line string")
+    rows = {r.h1: r for r in line_dedup.signatures(d).collect()}
+    halves = {g: r for g, r in ((g, spark.sql(f"SELECT xxhash64(encode('{g}', 'UTF-32')) AS h").first().h) for t in texts for g in (t[k : k + 5] for k in range(len(t) - 4)))}
+    signed = lambda x: (x & 0xFFFFFFFF) - ((x & 0x80000000) << 1)
+    minima = {}
+    for n, t in enumerate(texts):
+        hashes = [halves[t[k : k + 5]] for k in range(len(t) - 4)]
+        minima[n] = [min(signed((h >> 32 if k % 2 == 0 else h) ^ (((k // 2) << 28) + 0x0783D9AB)) for h in hashes) for k in range(16)]
+        assert [rows[n][f"g{k // 8}"] >> (8 * (k % 8)) & 255 for k in range(16)] == [m & 255 for m in minima[n]]
+    for a in range(4):
+        for b in range(a):
+            for k, own in enumerate(line_dedup.BANDS):
+                assert (rows[a][f"b{k}"] == rows[b][f"b{k}"]) == all(minima[a][m] == minima[b][m] for m in own)
 
 
 def test_near_lines_are_found(spark):
@@ -200,8 +256,7 @@ def test_near_lines_are_found(spark):
     lines = [" ".join(rng.choices(words, k=20)) for _ in range(60)]
     near = [line[:70] + "#" + line[71:] for line in lines]
     d = spark.createDataFrame([(k, t, "en", "a", 1, 0) for k, t in enumerate(lines + near)], SCHEMA)
-    removed = {r.doc_id for r in line_dedup.decisions(d).where("removed").collect()}
-    assert removed == set(range(60, 120))
+    assert removed(d) == {(k, 0) for k in range(60, 120)}
 
 
 def test_elias_fano_dense_runs_and_repeats():
@@ -218,10 +273,17 @@ def test_ngram_scores_match_brute_force(spark):
     got = {r.doc_id: r for r in ngram_trie.score_corpus(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     train = [t.split() + ["</s>"] for k, t in texts if not got[k].held_out]
     one, two, ctx = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:])), Counter(w for t in train for w in t[:-1])
+    three = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    types3, ctx3 = Counter(x[:2] for x in three), Counter()
+    for x, n in three.items():
+        ctx3[x[:2]] += n
     types, total = Counter(v for v, _ in two), sum(one.values())
     for k, t in texts:
         words = t.split() + ["</s>"]
         p1 = [(one[w] + 1) / (total + len(one) + 1) for w in words]
         p = p1[:1] + [(two[v, w] + types[v] * q) / (ctx[v] + types[v]) if ctx[v] else q for v, w, q in zip(words, words[1:], p1[1:])]
+        for i, x in enumerate(zip(words, words[1:], words[2:]), 2):
+            if ctx3[x[:2]]:
+                p[i] = (three[x] + types3[x[:2]] * p[i]) / (ctx3[x[:2]] + types3[x[:2]])
         assert abs(got[k].base_score - sum(map(math.log10, p1))) < 1e-6
         assert abs(got[k].score - sum(map(math.log10, p))) < 0.05 * len(words)  # 8-bit probabilities

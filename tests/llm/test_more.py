@@ -284,4 +284,6 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     got = pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in got.collect()} == set(range(12))
+    rows = got.collect()
+    assert got.columns == [*docs.columns, "repeats"] and {r.doc_id for r in rows} <= set(range(12)) and {1, 3, 5, 7, 9, 11} <= {r.doc_id for r in rows}
+    assert sum(len(r.text.split()) * r.repeats for r in rows) in range(1380, 1500) and all(1 <= r.repeats <= 3 for r in rows)
