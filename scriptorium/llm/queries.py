@@ -18,6 +18,9 @@ _MODULES = {
     "op7_quality_divergence": "quality_rules",
     "op8_token_counts": "token_counts",
     "op9_budget_mix": "mixing",
+    "op11_substring_dedup": "substring",
+    "op12_lexical_search": "lexical",
+    "op13_whitening": "whitening",
 }
 
 
