@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TOLD, drop, drop_folder, folder, get_array, put_arrays, table, told
+from .shared import drop, drop_folder, folder, get_array, put_arrays, table
 from .words import Chunk, chunks, mix, words
 
 WINDOW = 50
@@ -221,7 +221,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     drop_folder(spark, place)
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
     least = table(least.where("least < greatest").drop("greatest"), "least")
-    later = found.join(told(least, 24), ["h1", "h2"]).where("doc_id > least")
+    later = found.join(least, ["h1", "h2"]).where("doc_id > least")
     out = table(later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at")), "repeats")
     drop(found, least)
     return out
@@ -259,8 +259,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     aren't read. An empty table gives no rows.
     """
     found = repeated_windows(docs)
-    rows, entries = found.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    found = F.broadcast(found) if rows * 24 + entries * 4 <= TOLD else found
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     both = d.join(found, ["doc_id", "text_hash"], "left").select("doc_id", "text", "at")
     return both.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
