@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.similarity import similarities
+from .near_copies import paired
 
 #: Phrases by which a text gives itself away, and openings it must not have.
 SELF_REFERENCES = ("as an ai", "as an artificial intelligence", "as a language model", "as an ai language model", "i am an ai", "i'm an ai", "i do not have personal experiences", "i don't have personal experiences", "i don't have personal feelings", "as a large language model")
@@ -143,16 +142,6 @@ def aligned(rows: DataFrame, a: str, b: str) -> DataFrame:
     return d.withColumn("pairs", F.when(drift, F.array().cast("array<struct<original:string,candidate:string,similarity:double>>")).otherwise(zipped)).drop("ratios")
 
 
-def similarities(a: Column, b: Column) -> Column:
-    """Element by element the ratio of matching blocks, 2M / T, in Arrow batches; null for null arrays."""
-    @F.pandas_udf("array<double>")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        one = lambda p, q: difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio()
-        return pd.Series([None if p is None or q is None else [one(s, t) for s, t in zip(p, q, strict=True)] for p, q in zip(x, y, strict=True)])
-
-    return ratio(a, b)
-
-
 def modified(pairs: str, threshold: float) -> Column:
     """Indices of the pairs of a similarity below ``threshold``."""
     return F.filter(F.transform(pairs, lambda p, i: F.when(p["similarity"] < threshold, i)), lambda i: i.isNotNull())
@@ -191,48 +180,12 @@ def equal_signatures(rows: DataFrame, key: str, c: str = "text") -> DataFrame:
 def shingled_pairs(rows: DataFrame, key: str, c: str = "text", size: int = 5, least: float = 0.2) -> DataFrame:
     """Pairs ``(a, b, jaccard)``, a < b, whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more.
 
-    Rows of equal sets are one class, of which the least key stands. Only classes that share a shingle of their prefixes
-    meet, in an order in which rare shingles come first: a set's prefix is all but the shingles that even in full wouldn't
-    make a pair.
+    Rows of equal sets are one class, of which the least key stands.
     """
     d = T.once(rows.select(key, c), w=T.tokens(F.lower(F.coalesce(F.col(c), F.lit("")))))
     d = T.once(d, s=F.array_sort(F.array_distinct(T.gram_hashes("w", size)))).where(F.size("s") > 0)
-    d = d.groupBy("s").agg(F.min(key).alias("id")).withColumn("n", F.size("s"))
-    items = d.select("id", "n", F.explode("s").alias("g"))
-    common = items.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = items.join(common, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("own"))
-    # shingles that no other set has lead the order: what is left of the prefix reaches into the common ones
-    prefix = F.col("n") - F.ceil(least * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("own"))
-    lists = ranked.where(prefix > 0).select("id", "n", F.explode(F.slice("own", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("x")).select("id", "n", "x.g")
-    near = F.expr(f"x.id < y.id and x.n >= {least} * y.n and y.n >= {least} * x.n")
-    met = lists.alias("x").join(lists.alias("y"), F.expr("x.g = y.g")).where(near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sets = d.select("id", "s")
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def similar_pairs(rows: DataFrame, key: str, family: str, c: str = "text", threshold: float = 0.9) -> DataFrame:
-    """Pairs (a, b) of texts that are near copies, with their similarity and whether they are of one family.
-
-    Candidates share shingles; of rows with equal shingle sets the least key is compared with each of the others. Equal
-    signatures are of similarity 1, for others the ratio of matching blocks decides.
-    """
-    t = rows.select(F.col(key).alias("k"), F.col(family).alias("family"), F.col(c).alias("t"), signature(c).alias("s"))
-    same = equal_signatures(rows, key, c).where(F.col(key) != F.col("group")).select(F.col("group").alias("a"), F.col(key).alias("b"))
-    pairs = shingled_pairs(rows, key, c).select("a", "b").unionByName(same).distinct()
-    side = lambda x: t.select(F.col("k").alias(x), F.col("family").alias(f"f{x}"), F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    exact = F.col("sa") == F.col("sb")
-    ratio = similarities(F.when(~exact, F.array("ta")), F.when(~exact, F.array("tb")))
-    scored = both.withColumn("ratio", ratio).withColumn("similarity", F.when(exact, 1.0).otherwise(F.col("ratio")[0]))
-    return scored.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 3).alias("similarity"), F.col("fa").eqNullSafe(F.col("fb")).alias("same_family"))
-
-
-def flagged(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``duplicate``: whether they're in a pair of two families."""
-    ends = pairs.where("not same_family").select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    return rows.join(ends.withColumnRenamed("end", "end of pair"), F.col(key) == F.col("end of pair"), "left").withColumn("duplicate", F.col("end of pair").isNotNull()).drop("end of pair")
+    d = d.groupBy("s").agg(F.min(key).alias("id"))
+    return paired(d, least)
 
 
 # Corpus reports

@@ -6,12 +6,15 @@ queries derive such inputs from ``documents`` by a rule that the SQL beside each
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.similarity import similarities
 from ..operators import curation as C
 from ..operators import evaluation as E
 from ..operators import features as V
+from ..operators import near_copies as N
 from ..operators import scoring
 from .queries import _FOLD, _LENGTHS, _SCORED, _SENTENCES, _TOKENS, _WORDS, _rounded, _scored, query
 from .scoring import _FEATURES, _ITEMS, _SCORE, MODEL, _features
@@ -168,6 +171,25 @@ def near_duplicate_pairs(t):
     return C.equal_signatures(t("documents"), "doc_id")
 
 
+@query()
+def near_copies(t):
+    """Per document its class and group of near copies by the ratio of matching blocks, its class's links, and whether a
+    document of another source is among them."""
+    d = t("documents")
+    members, links = N.near_copies(d, "doc_id", "source", words=5)
+    n = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    flags = N.flagged(d.select("doc_id"), members, links, "doc_id").withColumnRenamed("doc_id", "key")
+    return members.join(n, "class", "left").join(flags, "key").select(F.col("key").alias("doc_id"), "class", "group", F.coalesce("n_links", F.lit(0)).alias("n_links"), "duplicate")
+
+
+@query()
+def turn_similarity(t):
+    """The ratio of matching blocks of each turn and the one before it."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    d = t("conversations").select("conv_id", "turn", "text", before.alias("before"))
+    return d.select("conv_id", "turn", F.when(F.col("before").isNotNull(), similarities(F.array("before"), F.array("text"))[0]).alias("similarity"))
+
+
 # Corpus reports
 
 

@@ -1,6 +1,5 @@
 """Operators that no SQL stands beside, and odd rows of those that have it."""
 
-import difflib
 import math
 
 import pytest
@@ -75,20 +74,6 @@ def test_similarities_are_those_of_matching_blocks(spark):
     assert [p.similarity for p in rows[0].pairs] == [0.25, 1.0, 1.0] and rows[0].changed == [0] and rows[1].structure_drift and rows[1].pairs == []
 
 
-def test_similar_pairs(spark):
-    base = " ".join(f"word{k}" for k in range(60))
-    rows = [(1, "f", base), (2, "f", base + " end"), (3, "g", base.replace("word30", "other")), (4, "g", "something else entirely that shares nothing"), (5, "h", base.upper()), (6, "h", None)]
-    d = spark.createDataFrame(rows, "id long, family string, text string")
-    got = {(r.a, r.b): (r.similarity, r.same_family) for r in C.similar_pairs(d, "id", "family").collect()}
-    text = {r[0]: r[2] for r in rows}
-    for (a, b), (s, same) in got.items():
-        assert s == 1.0 or abs(s - round(difflib.SequenceMatcher(None, text[a], text[b], autojunk=False).ratio(), 3)) < 1e-9
-        assert same == (rows[a - 1][1] == rows[b - 1][1])
-    assert {(1, 2), (1, 3), (2, 3), (1, 5)} <= set(got)
-    flags = {r.id: r.duplicate for r in C.flagged(d, C.similar_pairs(d, "id", "family"), "id").collect()}
-    assert flags == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
-
-
 def test_paragraph_pairs(spark):
     rows = [("a\n\nb\n\nc", 1, "a\n\nB1\n\nB2\n\nc"), ("a\n\nb", 1, "a\n\nB"), ("a\n\nb", 0, "X\n\nb"), ("a\n\nb", 1, "z\n\nB"), ("a", 3, "a")]
     d = spark.createDataFrame(rows, "h string, i int, n string")
