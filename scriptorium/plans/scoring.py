@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import ablation as A
 from ..operators import evaluation as E
 from ..operators import features as V
 from ..operators import scoring, spans
@@ -101,3 +103,35 @@ def top_one_localization(t):
     s = _features(t).select("doc_id", F.struct((-MODEL.score()).alias("order"), "i", (F.col("punctuation_count") > 3).alias("positive")).alias("s"))
     best = s.groupBy("doc_id").agg(F.min("s").alias("best"), F.bool_or("s.positive").alias("some")).where("some")
     return best.agg(F.count("*").alias("n"), F.count_if("best.positive").alias("hits"))
+
+
+# Ablation: which of a text's simple measures tell its quality label
+
+
+_LENGTH, _WORDING = ["n_words", "n_lines"], ["distinct", "word_length", "marks"]
+GROUPS = {"all": _LENGTH + _WORDING, "length": _LENGTH, "wording": _WORDING, "without_marks": [*_LENGTH, "distinct", "word_length"], "without_distinct": [*_LENGTH, "word_length", "marks"]}
+
+
+def _labelled(t):
+    """Labelled documents with five measures, a split and folds by the id's sum."""
+    d = T.once(t("documents").join(t("labels").select("doc_id", "quality"), "doc_id").where("quality is not null and text is not null"), w=T.tokens())
+    n, crc = F.size("w"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.when(crc % 10 < 7, "train").when(crc % 10 < 9, "validation").otherwise("test")
+    return d.select("doc_id", F.col("source").alias("essay"), split.alias("split"), (F.floor(crc / 10) % 5).cast("int").alias("fold"), F.col("quality").alias("y"),
+        F.log1p(n).alias("n_words"), F.log1p(F.regexp_count("text", F.lit("\n"))).alias("n_lines"), T.ratio(F.size(F.array_distinct("w")), n).alias("distinct"),
+        T.ratio(F.char_length("text"), n + 1).alias("word_length"), T.ratio(F.regexp_count("text", F.lit("[^\\p{L}\\s]")), F.char_length("text")).alias("marks"))
+
+
+@query()
+def quality_ablation(t):
+    rows = _labelled(t)
+    fitted = A.fit_groups(rows.where("split = 'train'"), GROUPS)
+    report = A.ablation_report(rows.where("split <> 'test'"), fitted)
+    return report.select("group", "split", "n_features", "chosen_c", "n", "tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "f1_machine", "f1_human")))
+
+
+@query()
+def quality_group_diagnostic(t):
+    rows = _labelled(t)
+    out = A.group_diagnostic(rows, A.fit_groups(rows.where("split = 'train'"), GROUPS), "essay", "doc_id")
+    return out.select("group", "n_features", "chosen_c", "threshold", "n", "tp", "fp", "tn", "fn", F.round("f1_machine", 6).alias("f1_machine"), "validation_essays", "validation_top1", "test_essays", "test_top1")
