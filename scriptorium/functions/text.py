@@ -27,14 +27,11 @@ def strip(c: str | Column = "text") -> Column:
 
 
 def words(c: str | Column = "text") -> Column:
-    """Letter runs in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit("\\p{L}+"), F.lit(0))
-
-
-def alphabetic_words(c: str | Column = "text") -> Column:
-    """Words of letters alone: English clitics are split off, and what still has an apostrophe inside is dropped."""
-    parted = F.regexp_replace(F.regexp_replace(F.lower(c), "n['\u2019]t\\b", " "), "['\u2019](s|m|re|ve|ll|d)\\b", " ")
-    return F.filter(F.regexp_extract_all(parted, F.lit("\\p{L}+(?:['\u2019]\\p{L}+)*"), F.lit(0)), lambda w: ~w.rlike("['\u2019]"))
+    """Words of letters alone, in lower case: English clitics are split off, and what still has an apostrophe inside is dropped."""
+    low = F.lower(c)
+    parted = F.regexp_replace(F.regexp_replace(low, "n['\u2019]t\\b", " "), "['\u2019](s|m|re|ve|ll|d)\\b", " ")
+    whole = F.filter(F.regexp_extract_all(parted, F.lit("\\p{L}+(?:['\u2019]\\p{L}+)*"), F.lit(0)), lambda w: ~w.rlike("['\u2019]"))
+    return F.when(low.rlike("['\u2019]"), whole).otherwise(F.regexp_extract_all(low, F.lit("\\p{L}+"), F.lit(0)))
 
 
 def tokens(c: str | Column = "text") -> Column:

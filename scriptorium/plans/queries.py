@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 #: White space at a text's ends, as an SQL string.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
 _STRIP = f"trim(text, {_WHITE})"
-_WORDS = "regexp_extract_all(lower(text), '\\p{L}+')"
+_PARTED = "regexp_replace(regexp_replace(lower(text), 'n[''\u2019]t\\b', ' ', 'g'), '[''\u2019](s|m|re|ve|ll|d)\\b', ' ', 'g')"
+_WORDS = f"list_filter(regexp_extract_all({_PARTED}, '\\p{{L}}+(?:[''\u2019]\\p{{L}}+)*'), lambda q: NOT regexp_matches(q, '[''\u2019]'))"
 _TOKENS = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
 _SENTENCES = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?]*'), lambda s: trim(s, {_WHITE})), lambda s: s <> '')"
 _LOOSE = "regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')"
@@ -147,14 +148,9 @@ def candidate_profile(t):
     return t("documents").select("doc_id", F.size(T.tokens()).alias("n_tokens"), F.size(T.paragraphs()).alias("n_paragraphs"), T.has_paragraph_marker().alias("marked"), T.sentence_proxy().alias("n_sentences_proxy"))
 
 
-_PARTS = r"regexp_replace(regexp_replace(lower(text), 'n[''\u2019]t\b', ' ', 'g'), '[''\u2019](s|m|re|ve|ll|d)\b', ' ', 'g')".replace("\\u2019", "\u2019")
-
-
-@query(rf"""SELECT doc_id, len(list_filter(regexp_extract_all({_PARTS}, '\p{{L}}+(?:[''’]\p{{L}}+)*'), lambda w: NOT regexp_matches(w, '[''’]'))) AS n,
-  md5(array_to_string(list_filter(regexp_extract_all({_PARTS}, '\p{{L}}+(?:[''’]\p{{L}}+)*'), lambda w: NOT regexp_matches(w, '[''’]')), ' ')) AS digest
-FROM (SELECT doc_id, 'It isn''t l''été; they''re Ann''s. ' || text AS text FROM documents)""")
+@query(f"""SELECT doc_id, len({_WORDS}) AS n, md5(array_to_string({_WORDS}, ' ')) AS digest FROM (SELECT doc_id, 'It isn''t l''été; they''re Ann''s. ' || text AS text FROM documents)""")
 def alphabetic_words(t):
-    d = t("documents").select("doc_id", T.alphabetic_words(F.concat(F.lit("It isn't l'été; they're Ann's. "), F.col("text"))).alias("w"))
+    d = t("documents").select("doc_id", T.words(F.concat(F.lit("It isn't l'été; they're Ann's. "), F.col("text"))).alias("w"))
     return d.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
