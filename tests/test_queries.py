@@ -5,7 +5,7 @@ import os
 import pandas as pd
 import pytest
 
-from scriptorium.plans import dataset, language, scoring  # noqa: F401  add their queries
+from scriptorium.plans import analysis, dataset, language, scoring  # noqa: F401  add their queries
 from scriptorium.plans.queries import QUERIES, SQL
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
