@@ -41,7 +41,7 @@ def test_states_evidence_and_candidates(spark):
 def test_missing_fields(spark):
     model = LinearModel(("stylo_type_token_ratio", "lm_mean_perplexity"), (0.5, 10.0), (0.1, 5.0), (1.0, 1.0), 0.0, 0.5)
     ref = {"stylo_type_token_ratio": (0.5, 0.1), "lm_mean_perplexity": (10.0, 5.0)}
-    d = spark.createDataFrame([(1, "A b. C d.", None), (2, "A b. C d.", 20.0)], "id long, text string, lm_mean_perplexity double")
+    d = spark.createDataFrame([(1, "Ab bc. Cd de.", None), (2, "Ab bc. Cd de.", 20.0)], "id long, text string, lm_mean_perplexity double")
     rows = {r.id: r for r in A.analyzed(d, model, model, KNOWN, ref, key="id").collect()}
     assert rows[1].essay.state == "inconclusive" and rows[1].essay.score is None and rows[1].essay.evidence == []
     s = rows[1].sentences
