@@ -259,6 +259,57 @@ def test_near_lines_are_found(spark):
     assert removed(d) == {(k, 0) for k in range(60, 120)}
 
 
+def kept_by_brute_force(lines):
+    """How many lines are the first of their component, by all pairs."""
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(lines)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(k) for k in range(len(lines))}
+
+
+def test_families_of_near_lines(spark):
+    """Lines that differ from a common one in a few characters, and from each other in about twice as many."""
+    import random
+
+    rng = random.Random(9)
+    lines = []
+    for _ in range(40):
+        base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=120))
+        for _ in range(25):
+            own = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 4)):
+                own[at] = rng.choice("ABCDEFGH")
+            lines.append("".join(own))
+    want = set(range(len(lines))) - kept_by_brute_force(lines)
+    d = spark.createDataFrame([(k, t, "en", "a", 1, 0) for k, t in enumerate(lines)], SCHEMA)
+    got = {k for k, _ in removed(d)}
+    assert got <= want and len(want) > 300 and len(got) >= 0.98 * len(want)
+
+
+def test_lines_beyond_the_basic_plane(spark):
+    import random
+
+    rng = random.Random(2)
+    lines = []
+    for _ in range(40):
+        base = "".join(rng.choices("\U0001f600\U0001f601\U0001f602\U0001f603abcdefgh\u00e9", k=60))
+        lines += [base, base[:30] + "#" + base[31:], base[:5] + "".join(rng.choices("xyz", k=14)) + base[19:]]
+    want = set(range(len(lines))) - kept_by_brute_force(lines)
+    d = spark.createDataFrame([(k, t, "en", "a", 1, 0) for k, t in enumerate(lines)], SCHEMA)
+    got = {k for k, _ in removed(d)}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) >= 40
+
+
 def test_elias_fano_dense_runs_and_repeats():
     rng = np.random.default_rng(2)
     v = np.unique(np.concatenate([np.arange(0, 5000, 2), rng.integers(0, 10**10, 3000)]))  # a full bucket beside sparse ones
