@@ -87,26 +87,27 @@ def is_empty(c: str = "text") -> Column:
     return F.coalesce(T.strip(c), F.lit("")) == ""
 
 
-def leaks(c: str, instruction: str, n: int = 6) -> Column:
-    """Whether ``n`` consecutive words of the instruction stand in the text; case and runs of white space aside."""
-    w = instruction.lower().split()
+def leaks(c: str, instruction: str, n: int = 6, loose: str | None = None) -> Column:
+    """Whether ``n`` consecutive words of the instruction stand in the text; case and runs of white space aside. ``loose``
+    names a column that holds the text so folded already: an expression within an ``or`` is computed for each of its parts."""
+    w, body = instruction.lower().split(), F.col(loose) if loose else T.loosely_folded(c)
     out = F.lit(False)
     for k in range(len(w) - n + 1):
-        out = out | F.contains(T.loosely_folded(c), F.lit(" ".join(w[k : k + n])))
+        out = out | F.contains(body, F.lit(" ".join(w[k : k + n])))
     return F.coalesce(out, F.lit(False))
 
 
-def refers_to_itself(c: str = "text") -> Column:
-    found = F.lit(False)
+def refers_to_itself(c: str = "text", loose: str | None = None) -> Column:
+    found, body = F.lit(False), F.col(loose) if loose else T.loosely_folded(c)
     for p in SELF_REFERENCES:
-        found = found | F.contains(T.loosely_folded(c), F.lit(p))
+        found = found | F.contains(body, F.lit(p))
     return F.coalesce(found, F.lit(False))
 
 
 def has_preamble(c: str = "text") -> Column:
-    found = F.lit(False)
+    found, start = F.lit(False), F.lower(F.left(T.strip(c), F.lit(max(map(len, PREAMBLES)))))
     for p in PREAMBLES:
-        found = found | F.startswith(F.lower(T.strip(c)), F.lit(p))
+        found = found | F.startswith(start, F.lit(p))
     return F.coalesce(found, F.lit(False))
 
 
@@ -114,14 +115,15 @@ def quality_checks(rows: DataFrame, c: str, instruction: str, least: int = 30, m
     """``rows`` with six flags and ``notes``, the names of those that are set, in order. An empty text has only the first."""
     d = rows.select(F.struct(*rows.columns).alias("row"), F.col(c).alias("body"))
     c = "body"
-    d = T.once(d, tokens=T.tokens(F.lower(F.coalesce(F.col(c), F.lit("")))))
+    d = T.once(d, loose=T.loosely_folded(c))
+    d = T.once(d, tokens=F.filter(F.split(F.coalesce(F.col("loose"), F.lit("")), " "), lambda x: x != ""))
     d = T.once(d, grams=F.array_sort(T.gram_hashes("tokens", 3)))
     n = F.size("tokens")
     flags = [
         is_empty(c),
         ~n.between(least, most),
-        leaks(c, instruction),
-        refers_to_itself(c),
+        leaks(c, instruction, loose="loose"),
+        refers_to_itself(c, "loose"),
         (n >= 3) & (T.n_repeated("grams") > 0.3 * F.size("grams")),
         has_preamble(c),
     ]
