@@ -19,7 +19,7 @@ NOTES = ("empty_output", "length_out_of_bounds", "instruction_leakage", "ai_self
 #: sentence is covered.
 PRESERVED, REVIEW_BAND, COVERED = 0.75, 0.35, 0.45
 #: Number words that count as numbers.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty hundred thousand million billion".split()
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split()
 
 
 # Samples and splits
@@ -317,6 +317,14 @@ def coverage(original: DataFrame, rewritten: DataFrame, key: str, threshold: flo
     return best.select(key, "i", (-F.col("b.j")).alias("j"), F.round("b.s", 4).alias("similarity"), (F.col("b.s") < threshold).alias("dropped"))
 
 
+def coverage_report(texts: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """A row a key of ``texts``: how many sentences ``coverage`` has matched, how many are dropped, and the least
+    similarity; a text that lacks sentences on either side has 0, 0 and null."""
+    g = covered.groupBy(key).agg(F.count("*").alias("n_sentences"), F.count_if("dropped").alias("n_dropped"), F.min("similarity").alias("min_similarity"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return texts.select(key).distinct().join(g, key, "left").select(key, zero("n_sentences"), zero("n_dropped"), "min_similarity")
+
+
 def claim_label(dropped: Column, flagged_: Column) -> Column:
     return F.when(dropped | flagged_, "possible_omission_flagged").otherwise("no_omission_signal")
 

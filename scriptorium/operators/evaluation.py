@@ -165,9 +165,19 @@ def scaler(rows: DataFrame, fields: list[str]) -> tuple[tuple[float, ...], tuple
 
 
 def folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``rows`` with a ``fold``: within each label, rows in a seeded order are dealt to k folds in turn."""
-    w = W.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """``rows`` with a ``fold``: within each label, rows in a seeded order are dealt to k folds in turn.
+
+    The order is cut by 256 parts of the hash: parts are counted, and ranks are sought within a part, so that no task sorts
+    all rows of a label.
+    """
+    d = rows.select(F.struct(*rows.columns).alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit("")).alias("h"))
+    d = d.withColumn("part", F.left("h", F.lit(2)))
+    sizes = d.groupBy("label", "part").agg(F.count("*").alias("m"))  # 257 rows a label at most
+    before = F.coalesce(F.sum("m").over(W.partitionBy("label").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("label").alias("l"), F.col("part").alias("p"), before.alias("before"))
+    rank = F.col("before") + F.row_number().over(W.partitionBy("label", "part").orderBy("h", "key")) - 1
+    both = d.join(sizes, F.expr("label <=> l and part = p"))
+    return both.withColumn("fold", (rank % k).cast("int")).select(*(F.col("row").getField(c).alias(c) for c in rows.columns), "fold")
 
 
 def logistic_cv(rows: DataFrame, fields: list[str], label: str = "y", cs: int = 10, scoring: str = "f1", multinomial: bool = False):

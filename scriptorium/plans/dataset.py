@@ -318,6 +318,15 @@ def sentence_coverage(t):
     return C.coverage(v.where("i < 5"), v.where("i >= 5"), "g")
 
 
+@query("""WITH v AS (SELECT vec_id // 10 AS g, vec_id % 10 AS i, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.g, a.i, max(round(list_cosine_similarity(a.e, b.e), 4)) AS s, max(list_cosine_similarity(a.e, b.e)) AS x FROM v a JOIN v b ON a.g = b.g WHERE a.i < 5 AND b.i >= 5 AND b.g % 3 <> 0 AND a.g % 4 <> 0 GROUP BY a.g, a.i),
+q AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE x < 0.45) AS d, min(s) AS s FROM p GROUP BY g)
+SELECT v.g, coalesce(n, 0) AS n_sentences, coalesce(d, 0) AS n_dropped, s AS min_similarity FROM (SELECT DISTINCT g FROM v) v LEFT JOIN q ON v.g = q.g""")
+def coverage_report(t):
+    """As ``sentence_coverage``, by text; every fourth original and every third rewrite has no sentence."""
+    v = t("embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), (F.col("vec_id") % 10).alias("i"), "embedding")
+    return C.coverage_report(v, C.coverage(v.where("i < 5 and g % 4 <> 0"), v.where("i >= 5 and g % 3 <> 0"), "g"), "g")
+
+
 # Evaluation
 
 
