@@ -26,6 +26,8 @@ from .words import Chunk, chunks, plain_bytes, words
 
 #: Bytes of text to a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 1 << 22
+#: Shards to a file of the index: what a writer or a reader holds at once, however many shards a task has.
+FILE_SHARDS = 4
 #: Items that a task holds the best documents of at once: 16 bytes for each of k. More items go by in turns.
 ITEMS_AT_ONCE = 1 << 16
 #: Bytes of item texts whose terms a task reads at a time, about.
@@ -79,7 +81,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The index of ``docs(doc_id, text)``, a row per shard, as a table in the shared folder."""
-    return table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shards, INDEX), "index")
+    return table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shards, INDEX), "index", FILE_SHARDS)
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

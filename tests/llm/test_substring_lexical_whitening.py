@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import lexical, substring, whitening
 from scriptorium.llm.queries import oracle_sql, queries
@@ -230,3 +231,12 @@ def test_whitening_of_few_and_flat_vectors(spark):
 def test_hash_of_nothing_is_that_of_the_empty_text(spark):
     row = substring.op11_substring_dedup(spark, DIR).where("n_words = n_removed").first()
     assert row is None or row.kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_an_index_file_holds_few_shards(spark):
+    """Rows of megabytes are held by the file on writing and reading, so that files of many shards need any heap."""
+    text = F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" ")), 800_000)
+    d = spark.range(6).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    index = lexical.build_index(d)
+    sizes = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 6 and max(sizes) <= lexical.FILE_SHARDS
