@@ -145,8 +145,9 @@ def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return t, m
 
 
-def sure(free: DataFrame, model: CoModel, turn: int) -> DataFrame:
-    """What each view is sure of among all unlabelled documents: ``(doc_id, view, y)``, at most ``HANDED`` a view and label.
+def sure(docs: DataFrame, labelled: DataFrame, model: CoModel, turn: int) -> DataFrame:
+    """What each view is sure of among all of ``docs`` but those ``labelled(doc_id)``: ``(doc_id, view, y)``, at most
+    ``HANDED`` a view and label. All are scored where they lie; labelled ones go by their scores' rows, so that no text moves.
 
     A view is sure of the documents beyond ``CONFIDENT`` that are among the ``SURE`` highest or lowest of their language
     and source; of these the first by a seeded hash are taken.
@@ -158,7 +159,8 @@ def sure(free: DataFrame, model: CoModel, turn: int) -> DataFrame:
             z = [pa.array(np.concatenate([p[k] for p in parts]).astype(np.float64) if parts else np.zeros(0)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), *z], names=["doc_id", "lang", "source", "t", "m"])
 
-    scored = table(free.select(*INPUT).mapInArrow(run, "doc_id long, lang string, source string, t double, m double"), "scored")
+    scored = docs.select(*INPUT).mapInArrow(run, "doc_id long, lang string, source string, t double, m double")
+    scored = table(scored.join(labelled.select("doc_id"), "doc_id", "left_anti"), "scored")
     ends = scored.groupBy("lang", "source").agg(*(F.percentile_approx(x, [SURE, 1 - SURE], 1000).alias(f"end_{x}") for x in "tm"))
     ends = ends.select(F.col("lang").alias("l"), F.col("source").alias("s"), "end_t", "end_m")
     both = table(scored.join(ends, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))), "ends")
@@ -185,8 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoModel:
     model = CoModel(fit(*learnt[0]), fit(*learnt[1]))
     taken: set[int] = set()
     for turn in range(ROUNDS if len(set(y[~held])) > 1 else 0):
-        free = d.join(own.select("doc_id"), "doc_id", "left_anti")
-        handed = sure(free, model, turn)
+        handed = sure(d, own, model, turn)
         given = [r for r in handed.orderBy("view", "y", "doc_id").collect() if r.doc_id not in taken]
         if not given:
             break
