@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, told
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -132,14 +132,28 @@ def plan_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     as documents of their own; the seeded rank tells rows of one length apart by id and, for repeated ids, arbitrarily
     but with the same total. An empty table gives no rows. One row per source reaches the driver, documents don't.
     """
-    return _planned(docs, seed).select("doc_id", "size", "source_size", "target", "taken")
+    rows, sources = _ranked(docs, seed)
+    taken = F.col("o.size") * (F.col("o.passes") + F.col("o.more").cast("long"))
+    both = rows.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source"))
+    return both.select("o.doc_id", "o.size", "s.source_size", "s.target", taken.alias("taken"))
 
 
-def _planned(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
-    """``plan_mix``, with further columns of the same rows."""
-    spark = docs.sparkSession
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """Id, source, size and seeded hash of each row, and ``more``."""
     d = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    d = table(d.withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+    return d.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+
+
+def _place() -> Column:
+    """A row's place among those of its source and length, which are taken in this order."""
+    return F.struct(F.shiftrightunsigned("h", 56).alias("part"), "h", "doc_id")
+
+
+def _ranked(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs``, without its text: how many ``passes`` over its source take it, and whether it's taken once
+    ``more``; and the sources with their size and target."""
+    spark = docs.sparkSession
+    d = table(_sized(docs, seed), "sizes")
     # 256 parts of each length group, by the seeded hash: a group of any size is ranked part by part
     parts = d.groupBy("source", "size", F.shiftrightunsigned("h", 56).alias("part")).agg(F.count("*").alias("n"))
     parts = table(parts, "parts")
@@ -155,8 +169,17 @@ def _planned(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
     quota = parts.alias("p").join(plan.alias("q"), F.expr("p.source <=> q.source and p.size = q.size")).select("p.source", "p.size", "p.part", "q.passes", F.greatest(F.lit(0), F.least(F.col("p.n"), F.col("q.extra") - F.col("p.before"))).alias("quota"))
     rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
     ranked = d.withColumn("part", F.shiftrightunsigned("h", 56)).withColumn("rank", rank)
-    out = ranked.alias("d").join(quota.alias("q"), F.expr("d.source <=> q.source and d.size = q.size and d.part = q.part"), "left").select(*(f"d.{c}" for c in d.columns if c != "h"), (F.col("d.size") * F.coalesce(F.col("q.passes") + (F.col("d.rank") <= F.col("q.quota")).cast("long"), F.lit(0))).alias("taken"))
-    return out.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.*", "s.source_size", "s.target")
+    out = ranked.alias("d").join(quota.alias("q"), F.expr("d.source <=> q.source and d.size = q.size and d.part = q.part"), "left")
+    more = F.coalesce(F.col("d.rank") <= F.col("q.quota"), F.lit(False))
+    return out.select("d.doc_id", "d.source", "d.size", "d.h", F.coalesce("q.passes", F.lit(0)).alias("passes"), more.alias("more")), sources
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """Per source and length: the passes, the place ``cut`` of the last row that is taken once more, and how many rows of
+    that place there are, ``n``, and are taken, ``k``: these differ only where an id is repeated."""
+    at = rows.groupBy("source", "size", "passes", _place().alias("at")).agg(F.count("*").alias("n"), F.count_if("more").alias("k"))
+    last = F.max(F.when(F.col("k") > 0, F.struct("at", "n", "k")))
+    return at.groupBy("source", "size").agg(F.max("passes").alias("passes"), last.alias("last")).select("source", "size", "passes", F.col("last.at").alias("cut"), "last.n", "last.k").where("passes > 0 or cut is not null")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, repeats: str = "repeats") -> DataFrame:
@@ -164,8 +187,17 @@ def mixed_documents(docs: DataFrame, seed: int = 17, repeats: str = "repeats") -
     which ``docs`` must not have. Rows of one id are taken each for itself. An empty table gives no rows."""
     if repeats in docs.columns:
         raise ValueError(f"the documents have a column {repeats}; name another one for the repeats")
-    rows = _planned(docs, seed, F.struct(*docs.columns).alias("row")).where("taken > 0")
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.expr("taken div size").alias(repeats))
+    cuts = table(_cuts(_ranked(docs, seed)[0]), "cuts")
+    # texts stay where they lie: which rows are taken follows from one place a source and length
+    d = _sized(docs, seed, F.struct(*docs.columns).alias("row")).withColumn("at", _place())
+    both = d.alias("d").join(told(cuts, 96).alias("c"), F.expr("d.source <=> c.source and d.size = c.size"))
+    both = both.select("d.row", "d.source", "d.size", "d.at", "c.passes", "c.cut", "c.n", "c.k", F.coalesce(F.expr("d.at <= c.cut"), F.lit(False)).alias("more"))
+    if not cuts.where("k < n").isEmpty():
+        tied = F.coalesce(F.expr("at = cut and k < n"), F.lit(False))
+        rank = F.row_number().over(W.partitionBy("source", "size").orderBy(F.xxhash64("row.text")))
+        both = both.where(~tied).unionByName(both.where(tied).withColumn("more", rank <= F.col("k")))
+    times = F.col("passes") + F.col("more").cast("long")
+    return both.where(times > 0).select(*(F.col("row").getField(c).alias(c) for c in docs.columns), times.alias(repeats))
 
 
 def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
